@@ -71,3 +71,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     `df` should be a written table: it is counted (as far as `rows` + 1).
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shared(spark: SparkSession, value):
+    """Send a bounded value to the executors once; call the result there to get it. Needs no package on executors."""
+    from pyspark import cloudpickle
+
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        import pickle
+
+        return pickle.loads(sent.value)
+
+    return get
