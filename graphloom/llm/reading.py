@@ -23,7 +23,7 @@ LEVELS = 5
 #: Common English function words, which tell English prose from other languages.
 FUNCTION_WORDS = frozenset("the of and a an in to is it that which when this these each every some several most one we our with for by on as at so but because while if not be are was were from or both all between under near".split())
 #: Running prose is English if at least this share of its words are function words of English ...
-LEAST_ENGLISH = 0.18
+LEAST_ENGLISH = 0.27
 #: ... and an article if it has this many words; notices of withdrawal are shorter.
 LEAST_PROSE = 12
 #: A word is known if at least this many labelled documents have it.
