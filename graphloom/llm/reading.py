@@ -137,7 +137,8 @@ def word_grades(graded: DataFrame) -> DataFrame:
 
 def _sample_features(graded: DataFrame, lexicon: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features and levels of a bounded sample of labelled documents, with grades from the other parts."""
-    sample = graded.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(CALIBRATION_DOCUMENTS).drop("h")
+    chosen = graded.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCUMENTS)  # ids alone meet in one task
+    sample = graded.join(F.broadcast(chosen), "doc_id", "left_semi")
     used = sample.select("doc_id", "level", "part", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("uses").alias("use"))))
     own = F.element_at(F.array(*(F.col(f"g{p}") for p in range(PARTS))), F.col("part") + 1)
     rows = used.join(lexicon, "word").select("doc_id", "level", own.alias("g"), "use").where("g is not null").groupBy("doc_id").agg(F.first("level").alias("level"), F.sort_array(F.collect_list(F.struct("g", "use"))).alias("e"))
