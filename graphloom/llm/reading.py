@@ -70,10 +70,10 @@ class Model:
         return int(np.argmax(z @ self.weights)) + 1
 
 
-def calibrated(x: np.ndarray, level: np.ndarray, steps: int = 600, penalty: float = 1.0) -> Model:
+def calibrated(x: np.ndarray, level: np.ndarray, usual: int, steps: int = 600, penalty: float = 1.0) -> Model:
     """Fit the model by gradient descent with momentum; deterministic, as it starts from zero."""
     if not len(x):
-        return Model(np.zeros(0), np.ones(0), np.zeros((1, LEVELS)), (LEVELS + 1) // 2)
+        return Model(np.zeros(0), np.ones(0), np.zeros((1, LEVELS)), usual)
     mean, spread = x.mean(0), x.std(0) + 1e-6
     z = np.c_[np.ones(len(x)), (x - mean) / spread]
     target = np.eye(LEVELS)[level - 1]
@@ -84,7 +84,7 @@ def calibrated(x: np.ndarray, level: np.ndarray, steps: int = 600, penalty: floa
         p /= p.sum(1, keepdims=True)
         v = 0.8 * v - 0.2 * (z.T @ (p - target) + penalty * w) / len(z)
         w = w + v
-    return Model(mean, spread, w, int(np.bincount(level).argmax()))
+    return Model(mean, spread, w, usual)
 
 
 def consensus(labels: DataFrame) -> DataFrame:
@@ -165,7 +165,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, lexicon_words: int =
     graded = written(_word_counts(texts.join(named, "doc_id"), ["doc_id", "level"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")))
     lexicon = written(word_grades(graded).where("grade is not null"))
     x, level = _sample_features(graded, lexicon)
-    model = calibrated(x, level)
+    frequent = graded.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "level").limit(1).collect()
+    model = calibrated(x, level, frequent[0].level if frequent else (LEVELS + 1) // 2)
     if lexicon.count() <= lexicon_words:
         return _scored(texts, lexicon, model)
     return _scored_by_join(texts, lexicon, model)
