@@ -17,6 +17,7 @@ from ..functions import routes as R
 from ..functions.ids import AMBIGUOUS, EDGE_TYPES, EXACT, INFERRED, NODE_TYPES, UNRESOLVED, blank, graph_id
 from ..functions.paths import file_name, stem
 from ..functions.routes import absolute_url, combine_uri, host, segments, url_path
+from ..session import written
 from .merge import Graph, build_order, merge_edges, merge_nodes
 
 Facts = dict[str, DataFrame]
@@ -95,8 +96,6 @@ def inherits(type_bases: DataFrame, deepest: int = 64) -> DataFrame:
 
     Rounds double the reach, so a chain of any depth up to 2^`deepest` ends after as many rounds as its depth has bits.
     """
-    from ..session import written
-
     direct = type_bases.where("type_name is not null and base_name is not null and type_name != base_name").select("type_name", "base_name").distinct()
     own = type_bases.select(F.explode(F.array("type_name", "base_name")).alias("type_name")).where("type_name is not null").distinct().select("type_name", c("type_name").alias("base_name"), F.lit(0).alias("depth"))
     far = written(own.unionByName(direct.withColumn("depth", F.lit(1))))
@@ -465,27 +464,25 @@ def contribute(f: Facts, contributors=CONTRIBUTORS) -> tuple[DataFrame, DataFram
     nodes: list[DataFrame] = []
     edges: list[DataFrame] = []
     for stage, (name, run) in enumerate(contributors):
-        if name == "http" and "endpoints" not in f:
-            found = [n for n in nodes]
-            if found:
-                every = found[0]
-                for n in found[1:]:
-                    every = every.unionByName(n)
-                f = f | {"endpoints": merge_nodes(every).where("type = 'Endpoint'")}
+        if name == "http" and "endpoints" not in f and nodes:
+            # Written, so that what follows does not carry the plans of all contributors before it.
+            nodes = [written(_union(nodes))]
+            f = f | {"endpoints": written(merge_nodes(nodes[0]).where("type = 'Endpoint'"))}
         for part, rows in enumerate(run(f)):
             placed = rows.df.withColumn("seq", F.lit(stage * 100 + part).cast("long") * F.lit(1 << 40) + c("seq").cast("long"))
             (nodes if rows.kind == "node" else edges).append(placed)
 
-    def union(dfs: list[DataFrame]) -> DataFrame | None:
-        out = None
-        for d in dfs:
-            out = d if out is None else out.unionByName(d)
-        return out
+    return _union(nodes), _union(edges)
+
 
-    return union(nodes), union(edges)
+def _union(dfs: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for d in dfs:
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 def build(f: Facts, contributors=CONTRIBUTORS) -> Graph:
     """The whole graph of the facts: merged nodes and edges with doc_pos, and the warnings."""
-    nodes, edges = contribute(f, contributors)
+    nodes, edges = map(written, contribute(f, contributors))
     return Graph(build_order(merge_nodes(nodes), NODE_TYPES), build_order(merge_edges(edges, make_ids=True), EDGE_TYPES), f.get("warnings"))

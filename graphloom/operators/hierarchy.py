@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import folded, key
-from ..session import discard, written
+from ..session import counted, discard, written
 
 #: Siblings are summed in this many buckets, so that no task holds all children of one parent.
 SIBLING_BUCKETS = 256
@@ -56,11 +56,11 @@ def _round(state: DataFrame) -> DataFrame:
 def _climbed(tree: DataFrame) -> tuple[DataFrame, int]:
     """Rounds until no further node reaches its root; returns the state and how many nodes never did."""
     root = F.when(F.col("parent_id").isNull(), F.col("node_id"))
-    state = written(tree.select("node_id", "parent_id", F.col("parent_id").alias("anc"), F.col("parent_id").isNotNull().cast("int").alias("depth"), root.alias("root_id"), F.lit(1).cast("long").alias("size")))
-    left = state.where("anc is not null").count()
+    state = written(tree.select("node_id", "parent_id", F.col("parent_id").alias("anc"), F.col("parent_id").isNotNull().cast("int").alias("depth"), root.alias("root_id"), F.lit(1).cast("long").alias("size")), open=F.col("anc"))
+    left = counted(state, "open")
     while left:
-        after = written(_round(state))
-        now = after.where("anc is not null").count()
+        after = written(_round(state), open=F.col("anc"))
+        now = counted(after, "open")
         discard(state)
         state = after
         if now == left:  # depths have no gaps: were a node deeper, one would have been resolved in this round
@@ -94,11 +94,11 @@ def _preorder(nodes: DataFrame) -> DataFrame:
     starts = sums.select("parent_id", "bucket", earlier.alias("bucket_start"))
     inside = F.coalesce(F.sum("size").over(W.partitionBy("parent_id", "bucket").orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = kids.withColumn("inside", inside).join(starts, ["parent_id", "bucket"]).select("node_id", F.col("parent_id").alias("anc"), (1 + F.col("bucket_start") + F.col("inside")).alias("pre"))
-    state = written(offsets.unionByName(tree.where("parent_id is null").select("node_id", F.lit(None).cast("string").alias("anc"), F.lit(0).cast("long").alias("pre"))))
-    while state.where("anc is not null").limit(1).count():
+    state = written(offsets.unionByName(tree.where("parent_id is null").select("node_id", F.lit(None).cast("string").alias("anc"), F.lit(0).cast("long").alias("pre"))), open=F.col("anc"))
+    while counted(state, "open"):
         up = state.select(F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("pre").alias("pre2"))
         moved = state.where("anc is not null").join(up, "anc").select("node_id", F.col("anc2").alias("anc"), (F.col("pre") + F.col("pre2")).alias("pre"))
-        after = written(state.where("anc is null").unionByName(moved))
+        after = written(state.where("anc is null").unionByName(moved), open=F.col("anc"))
         discard(state)
         state = after
     return state.select("node_id", "pre")
@@ -125,13 +125,13 @@ def hierarchy(tree: DataFrame) -> DataFrame:
 
 def node_paths(tree: DataFrame, separator: str = "/") -> DataFrame:
     """(node_id, path): the ids from the root down to the node, joined; nodes on or below loops have none."""
-    state = written(tree.select("node_id", F.col("parent_id").alias("anc"), F.col("node_id").alias("path")))
+    state = written(tree.select("node_id", F.col("parent_id").alias("anc"), F.col("node_id").alias("path")), open=F.col("anc"))
     left = -1
-    while (now := state.where("anc is not null").count()) not in (0, left):
+    while (now := counted(state, "open")) not in (0, left):
         left = now
         up = state.select(F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("path").alias("path2"))
         moved = state.where("anc is not null").join(up, "anc").select("node_id", F.col("anc2").alias("anc"), F.concat_ws(separator, "path2", "path").alias("path"))
-        after = written(state.where("anc is null").unionByName(moved))
+        after = written(state.where("anc is null").unionByName(moved), open=F.col("anc"))
         discard(state)
         state = after
     return state.where("anc is null").select("node_id", "path")

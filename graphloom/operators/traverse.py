@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..session import discard, small, written
+from ..session import counted, discard, small, written
 from .merge import Graph
 
 
@@ -34,30 +34,26 @@ def resolve(nodes: DataFrame, text: str) -> Row:
     return found[0]
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(node_id, depth): all nodes that `start` (node_id) reaches over edges (source_id, target_id), with the fewest steps."""
-    steps = written(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null"))
+def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None, upstream: bool = False) -> DataFrame:
+    """(node_id, depth): all nodes that `start` (node_id) reaches over edges (source_id, target_id), with the fewest steps.
+
+    Edges are followed from source to target, or with `upstream` from target to source. A written table is walked as it is.
+    """
+    ends = ("target_id", "source_id") if upstream else ("source_id", "target_id")
+    own = None if hasattr(edges, "_graphloom_path") else written(edges.select(*ends).where("source_id is not null and target_id is not null"))
+    steps = (edges if own is None else own).select(F.col(ends[0]).alias("source_id"), F.col(ends[1]).alias("target_id"))
     level = written(start.select("node_id").distinct().select("node_id", F.lit(0).alias("depth")))
-    seen = level
-    depth = 0
-    while max_depth is None or depth < max_depth:
+    seen, rows, depth = level, counted(level), 0
+    while counted(level) and (max_depth is None or depth < max_depth):
         depth += 1
-        front = small(level.select(F.col("node_id").alias("source_id")))
+        front = small(level.select(F.col("node_id").alias("source_id")), counted(level))
         reached = steps.join(front, "source_id").select(F.col("target_id").alias("node_id")).distinct()
-        level = written(reached.join(small(seen.select("node_id")), "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth")))
-        if not level.limit(1).count():
-            break
-        seen = seen.unionByName(level)
-    discard(steps)
+        level = written(reached.join(small(seen.select("node_id"), rows), "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth")))
+        seen, rows = seen.unionByName(level), rows + counted(level)
+    discard(own)
     return seen
 
 
-def turned(edges: DataFrame) -> DataFrame:
-    """The edges with their ends swapped."""
-    ends = {"source_id": F.col("target_id"), "target_id": F.col("source_id")}
-    return edges.select(*(ends.get(c, F.col(c)).alias(c) for c in edges.columns))
-
-
 def impact(g: Graph, focus: str, upstream: bool = False, max_depth: int = 6, exact_only: bool = False, include_ambiguous: bool = True) -> tuple[DataFrame, DataFrame]:
     """What a node affects, or with `upstream` what affects it: (nodes with depth, edges with the depth they lead from).
 
@@ -65,11 +61,10 @@ def impact(g: Graph, focus: str, upstream: bool = False, max_depth: int = 6, exa
     nodes already seen too. Edges of null ends are never walked.
     """
     usable = g.edges.where(admitted(exact_only, include_ambiguous)).where("source_id is not null and target_id is not null")
-    walk = turned(usable) if upstream else usable
-    found = written(reach(walk, g.nodes.sparkSession.createDataFrame([(focus,)], "node_id string"), max_depth))
-    nodes = g.nodes.join(found.select(F.col("node_id").alias("id"), "depth"), "id")
+    found = written(reach(usable, g.nodes.sparkSession.createDataFrame([(focus,)], "node_id string"), max_depth, upstream))
+    nodes = g.nodes.join(small(found.select(F.col("node_id").alias("id"), "depth"), counted(found)), "id")
     end = "target_id" if upstream else "source_id"
-    edges = usable.join(found.where(F.col("depth") < max_depth).select(F.col("node_id").alias(end), "depth"), end)
+    edges = usable.join(small(found.where(F.col("depth") < max_depth).select(F.col("node_id").alias(end), "depth"), counted(found)), end)
     return nodes, edges.select(*g.edges.columns, "depth")
 
 
@@ -84,22 +79,24 @@ def paths(g: Graph, source: str, target: str, max_depth: int = 8, exact_only: bo
     usable = g.edges.where(admitted(exact_only, include_ambiguous)).where("source_id is not null and target_id is not null").select("id", "source_id", "target_id")
     if source == target:
         return spark.createDataFrame([([source], [], 0)], "node_ids array<string>, edge_ids array<string>, length int")
-    to_go = written(reach(turned(usable), spark.createDataFrame([(target,)], "node_id string"), max_depth))
-    left = small(to_go.select(F.col("node_id").alias("target_id"), F.col("depth").alias("to_go")))
+    usable = written(usable)
+    to_go = written(reach(usable, spark.createDataFrame([(target,)], "node_id string"), max_depth, upstream=True))
+    left = small(to_go.select(F.col("node_id").alias("target_id"), F.col("depth").alias("to_go")), counted(to_go))
     steps = written(usable.join(left, "target_id"))
+    rows = 1
     level = spark.createDataFrame([(source, [source], [])], "at string, node_ids array<string>, edge_ids array<string>")
     done = level.where("false")
     for depth in range(1, max_depth + 1):
         ahead = steps.where(F.col("to_go") <= max_depth - depth)
         grown = (
-            ahead.join(small(level) if depth > 1 else F.broadcast(level), F.col("source_id") == F.col("at"))
+            ahead.join(small(level, rows), F.col("source_id") == F.col("at"))
             .where(~F.array_contains("node_ids", F.col("target_id")))
             .select(F.col("target_id").alias("at"), F.array_append("node_ids", F.col("target_id")).alias("node_ids"), F.array_append("edge_ids", F.col("id")).alias("edge_ids"))
         )
-        grown = written(grown)
+        grown = written(grown, open=F.when(F.col("at") != target, 1))
         done = done.unionByName(grown.where(F.col("at") == target))
-        level = written(grown.where(F.col("at") != target))
-        if not level.limit(1).count():
+        level, rows = grown.where(F.col("at") != target), counted(grown, "open")
+        if not rows:
             break
     return done.select("node_ids", "edge_ids", F.size("edge_ids").alias("length"))
 

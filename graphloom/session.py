@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only when it has at most this many rows; every caller has another way beyond it.
@@ -24,20 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **counts: Column) -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back.
 
-    The files outlive any executor, so a lost executor costs a re-read and not a re-run of everything before.
+    The files outlive any executor, so a lost executor costs a re-read and not a re-run of everything before. The rows are
+    counted on the way, and the values of each of `counts` that are not null; see `counted`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(n) for n, c in counts.items())).write.parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
-    back._graphloom_path = path
+    back._graphloom_path, back._graphloom_counts = path, seen.get
     return back
 
 
+def counted(df: DataFrame, name: str = "rows") -> int:
+    """A count that `written` took of this table."""
+    return df._graphloom_counts[name]
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by `written` once no plan reads it any more (superseded rounds of a loop)."""
     path = getattr(df, "_graphloom_path", None)
@@ -65,12 +72,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it proves to have at most `rows` rows, else `df` for a shuffled join.
-
-    `df` should be a written table: it is counted (as far as `rows` + 1).
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, else `df` for a shuffled join. `rows` is its size or a
+    bound of it; where it is not given, a written table's own count is taken, and another table is counted as far as needed."""
+    if rows is None:
+        counts = getattr(df, "_graphloom_counts", None)
+        rows = counts["rows"] if counts else df.limit(most + 1).count()
+    return F.broadcast(df) if rows <= most else df
 
 
 def shared(spark: SparkSession, value):
