@@ -6,6 +6,9 @@ that Spark can read.
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +22,22 @@ MARKERS = (".git",)
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """files of a folder, read recursively; only settings files keep their content."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    settings = F.lower(P.file_name(F.col("path"))).rlike(r"^appsettings.*\.json$")
-    return raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.lit(False).alias("is_dir"), F.when(settings, F.col("content").cast("string")).alias("content"))
+    """files of a local folder: ignored folders are not entered, markers are listed, only settings files keep their content.
+
+    Hadoop readers skip hidden names, which the markers are, so the folder is walked here; listings of other stores can be
+    given to `discover` as a table.
+    """
+    rows: list[tuple[str, bool, str | None]] = []
+    for folder, dirs, names in os.walk(root):
+        rows += [(os.path.join(folder, m), m in dirs, None) for m in MARKERS if m in dirs or m in names]
+        dirs[:] = sorted(d for d in dirs if d.lower() not in P.IGNORED_DIRECTORIES)
+        for name in sorted(names):
+            at, text = os.path.join(folder, name), None
+            if re.fullmatch(r"appsettings.*\.json", name.lower()):
+                with open(at, encoding="utf-8-sig", errors="replace") as f:
+                    text = f.read()
+            rows.append((at, False, text))
+    return spark.createDataFrame(rows, "path string, is_dir boolean, content string")
 
 
 def patterns(lines: DataFrame) -> DataFrame:
