@@ -37,7 +37,8 @@ PRESETS = (
     ("service-callers", "Show All Upstream Callers of a Service or Method", "Walk inbound edges to reveal callers, entry points, and repos affected by a change.", "upstream"),
     ("ambiguity-audit", "Show Ambiguous Edges Requiring Human Review", "Audit all non-exact edges and unresolved static links before making a change.", "downstream"),
 )
-# Colours by certainty, widths and dashes by edge type.
+# Colours by edge type, and by certainty for the other types.
+TYPE_STROKES = {"DISPATCHES": "#f9c74f", "HANDLED_BY": "#06d6a0", "CROSSES_REPO_BOUNDARY": "#ff5d5d"}
 STROKES = {3: "#4ecdc4", 2: "#ffd166"}
 OTHER_STROKE = "#ff5d5d"
 
@@ -160,7 +161,7 @@ def grid_layout(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("n", place).select(name.alias("id"), F.when(given, x).otherwise(120.0 + F.col("n") % 4 * 260).alias("x"), F.when(given, y).otherwise(100.0 + F.expr("n div 4") * 170).alias("y"), F.coalesce("display_name", "id", "type").alias("label"))
 
 
-def edge_styles(edges: DataFrame, colours: dict[str, str] | None = None) -> DataFrame:
+def edge_styles(edges: DataFrame, colours: dict[str, str] = TYPE_STROKES) -> DataFrame:
     """(id, stroke, width, dash): a colour by type or else by certainty, a width and a dash by type."""
     stroke = F.when(F.col("certainty") == 3, STROKES[3]).when(F.col("certainty") == 2, STROKES[2]).otherwise(OTHER_STROKE)
     if colours:

@@ -40,9 +40,9 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """All descendants of the projects that are contained in something, by range."""
+    """All descendants of every node, by range."""
     nodes = written(_hierarchy(spark, d))
-    return h.descendants(nodes, nodes.where("depth = 2"))
+    return h.descendants(nodes, nodes)
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +159,7 @@ select node_id, root_id, depth, 'none' loop_state from down
 union all select l.node_id, '', -1, case when o.start is null then 'below' else 'on' end from lost l left join loops o on o.start = l.node_id""",
     "p2_ranges": _P2 + "select a.node_id, count(b.node_id) descendants from down a left join down b on b.root_id = a.root_id and starts_with(b.path, a.path || '/') group by 1",
     "p2_paths": _P2 + "select node_id, path from down",
-    "p2_descendants": _P2 + "select a.node_id ancestor_id, b.node_id, b.depth - a.depth levels from down a join down b on b.root_id = a.root_id and starts_with(b.path, a.path || '/') where a.depth = 2",
+    "p2_descendants": _P2 + "select a.node_id ancestor_id, b.node_id, b.depth - a.depth levels from down a join down b on b.root_id = a.root_id and starts_with(b.path, a.path || '/')",
     "p3_found": _FIELDS + "select field_name, key_value from per_key join total using (field_name) where key_rows >= 0.03 * n",
     "p3_key_rows": _FIELDS + "select * from per_key",
     "p5_found": _P5 + "select * from found",

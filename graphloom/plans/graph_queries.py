@@ -335,7 +335,7 @@ def grid_layout(spark: SparkSession, d: str) -> DataFrame:
     return views.grid_layout(views.shown(G.delivered(spark, d, ordered=True)).nodes)
 
 
-@query(_m("""select id, case certainty when 3 then '#4ecdc4' when 2 then '#ffd166' else '#ff5d5d' end stroke,
+@query(_m("""select id, case when type = 'DISPATCHES' then '#f9c74f' when type = 'HANDLED_BY' then '#06d6a0' when type = 'CROSSES_REPO_BOUNDARY' then '#ff5d5d' when certainty = 3 then '#4ecdc4' when certainty = 2 then '#ffd166' else '#ff5d5d' end stroke,
 case when type = 'CROSSES_REPO_BOUNDARY' then '3' when type in ('DISPATCHES', 'HANDLED_BY') then '2.4' else '1.4' end width, case when type = 'DISPATCHES' then '5 3' else '' end dash from g_edges"""))
 def edge_styles(spark: SparkSession, d: str) -> DataFrame:
     return views.edge_styles(merge.merge_edges(G.edge_rows(spark, d)))
