@@ -147,6 +147,21 @@ where a.id is null or b.id is null or a.body is distinct from b.body""", f"""
   join (select snapshot_no, lead(snapshot_no) over (order by snapshot_no) next_no from (select distinct snapshot_no from {kind}_snapshots)) n using (snapshot_no))"""
 
 
+#: DuckDB: elements of all readable documents, as JSON. Camel and Pascal case are the spellings that occur.
+_P4 = """
+with t as (select distinct document_id, trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) txt from graph_documents where payload is not null and document_id is not null),
+a as (select document_id, case when json_valid(txt) then txt::json end v from t),
+b as (select document_id, case json_type(v) when 'OBJECT' then v when 'VARCHAR' then case when json_valid(v->>'$') then (v->>'$')::json end end r from a where v is not null),
+l as (select document_id, 'node' owner_kind, json_extract(coalesce(r->'nodes', r->'Nodes'), '$[*]') l from b where r is not null and json_type(r) = 'OBJECT'
+  union all select document_id, 'edge', json_extract(coalesce(r->'edges', r->'Edges'), '$[*]') from b where r is not null and json_type(r) = 'OBJECT'),
+e as (select document_id, owner_kind, unnest(l) el, unnest(range(len(l)))::int owner_pos from l),
+f as (select distinct document_id, owner_kind, owner_pos, coalesce(el->>'id', el->>'Id') id, coalesce(el->>'type', el->>'Type') as type, coalesce(el->>'displayName', el->>'DisplayName') display_name,
+  coalesce(el->>'repositoryName', el->>'RepositoryName') repository_name, coalesce(el->>'projectName', el->>'ProjectName') project_name, coalesce(el->>'certainty', el->>'Certainty') certainty,
+  coalesce(el->>'sourceId', el->>'SourceId') source_id, coalesce(el->>'targetId', el->>'TargetId') target_id,
+  coalesce(el->'sourceLocation', el->'SourceLocation') place, coalesce(el->'metadata', el->'Metadata') meta from e),
+m as (select document_id, owner_kind, owner_pos, unnest(json_keys(meta)) k from f where json_type(meta) = 'OBJECT'
+  union all select document_id, owner_kind, owner_pos, coalesce(x->>'key', x->>'Key') from (select *, unnest(json_extract(meta, '$[*]')) x from f where json_type(meta) = 'ARRAY'))
+"""
 _N, _NR = _p5("node", "")
 _E, _ER = _p5("edge", "source_id target_id")
 _P5 = f"with {_NR}, {_ER}, found as ({_N} union all {_E})"
@@ -162,6 +177,14 @@ union all select l.node_id, '', -1, case when o.start is null then 'below' else
     "p2_descendants": _P2 + "select a.node_id ancestor_id, b.node_id, b.depth - a.depth levels from down a join down b on b.root_id = a.root_id and starts_with(b.path, a.path || '/')",
     "p3_found": _FIELDS + "select field_name, key_value from per_key join total using (field_name) where key_rows >= 0.03 * n",
     "p3_key_rows": _FIELDS + "select * from per_key",
+    "p4_found": _P4 + """
+select document_id, owner_kind, owner_pos, 'record' child_kind, id child_key from f
+union all select document_id, owner_kind, owner_pos, 'location', coalesce(place->>'filePath', place->>'FilePath') from f where json_type(place) = 'OBJECT'
+union all select distinct document_id, owner_kind, owner_pos, 'metadata', k from m where k is not null""",
+    "p4_nodes": _P4 + "select document_id, owner_kind, owner_pos, id, type, display_name, repository_name, project_name, certainty from f where owner_kind = 'node'",
+    "p4_edges": _P4 + "select document_id, owner_kind, owner_pos, id, type, display_name, repository_name, project_name, certainty, source_id, target_id from f where owner_kind = 'edge'",
+    "p4_locations": _P4 + """select document_id, owner_kind, owner_pos, coalesce(place->>'filePath', place->>'FilePath') file_path, coalesce(place->>'line', place->>'Line')::int line,
+coalesce(place->>'column', place->>'Column')::int as column from f where json_type(place) = 'OBJECT'""",
     "p5_found": _P5 + "select * from found",
     "p5_changes_by_snapshot": _P5 + "select record_kind, snapshot_no, change_kind, count(*) ids from found group by 1, 2, 3",
 }
