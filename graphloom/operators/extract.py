@@ -337,6 +337,7 @@ def http_calls(f: Facts) -> list[Rows]:
     client, service = graph_id("http-client", c("project_name"), c("client_name")), graph_id("external-service", F.coalesce("service", "project_name"))
     outer = graph_id("external-endpoint", c("verb"), F.coalesce("uri", "request_path", "client_name"))
     d = d.withColumn("client_id", client).withColumn("service_id", service).withColumn("outer_id", outer).withColumn("call_no", F.monotonically_increasing_id())
+    d = written(d)  # the numbers are used in several plans
     at = {"location": _own(d, "location"), "repository": c("repository_name"), "project": c("project_name")}
     by_uri, by_path = F.when(c("uri").isNull(), AMBIGUOUS).otherwise(INFERRED), F.when(c("request_path").isNull(), UNRESOLVED).otherwise(INFERRED)
     out = [
