@@ -17,7 +17,7 @@ from ..functions import routes as R
 from ..functions.ids import AMBIGUOUS, EDGE_TYPES, EXACT, INFERRED, NODE_TYPES, UNRESOLVED, blank, graph_id
 from ..functions.paths import file_name, stem
 from ..functions.routes import absolute_url, combine_uri, host, segments, url_path
-from ..session import written
+from ..session import counted, discard, written
 from .merge import Graph, build_order, merge_edges, merge_nodes
 
 Facts = dict[str, DataFrame]
@@ -94,18 +94,20 @@ def classify(kind: Column, name: Column, bases: Column) -> Column:
 def inherits(type_bases: DataFrame, deepest: int = 64) -> DataFrame:
     """(type_name, base_name, depth): all base classes of each type, itself at 0, from direct links (type_name, base_name).
 
-    Rounds double the reach, so a chain of any depth up to 2^`deepest` ends after as many rounds as its depth has bits.
+    Rounds double the reach, so a chain of any depth up to 2^`deepest` ends after as many rounds as its depth has bits. A
+    shortest chain longer than `half` passes a type at exactly that depth, so only pairs of that depth are carried on.
     """
     direct = type_bases.where("type_name is not null and base_name is not null and type_name != base_name").select("type_name", "base_name").distinct()
     own = type_bases.select(F.explode(F.array("type_name", "base_name")).alias("type_name")).where("type_name is not null").distinct().select("type_name", c("type_name").alias("base_name"), F.lit(0).alias("depth"))
-    far = written(own.unionByName(direct.withColumn("depth", F.lit(1))))
-    size = far.count()
-    for _ in range(deepest):
-        on = far.select(c("type_name").alias("base_name"), c("base_name").alias("up"), c("depth").alias("more"))
-        far = written(far.join(on, "base_name").groupBy("type_name", c("up").alias("base_name")).agg(F.min(c("depth") + c("more")).alias("depth")))
-        if (now := far.count()) == size:
+    far = written(own.unionByName(direct.withColumn("depth", F.lit(1))), ends=F.when(c("depth") == 1, 1))
+    for bit in range(deepest):
+        if not counted(far, "ends"):  # no pair at the present reach, so none beyond it
             break
-        size = now
+        half = 1 << bit
+        on = far.where("depth > 0").select(c("type_name").alias("base_name"), c("base_name").alias("up"), c("depth").alias("more"))
+        more = far.where(c("depth") == half).join(on, "base_name").select("type_name", c("up").alias("base_name"), (c("depth") + c("more")).alias("depth"))
+        before, far = far, written(far.unionByName(more).groupBy("type_name", "base_name").agg(F.min("depth").alias("depth")), ends=F.when(c("depth") == 2 * half, 1))
+        discard(before)
     return far
 
 

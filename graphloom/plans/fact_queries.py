@@ -48,6 +48,7 @@ FACTS = {
         from nodes where lower(trim(type)) = 'entity' and display_name is not null and trim(display_name) <> '' group by lower(trim(id))""",
     "declared": """select doc_pos seq, id, case when lower(trim(type)) = 'interface' then 'interface' else 'class' end kind, regexp_replace(display_name, '[a-z0-9][a-z0-9][a-z0-9]$', '') name from nodes where display_name is not null""",
     "bases": """select distinct lower(trim(source_id)) type_name, lower(trim(target_id)) base_name from edges where lower(trim(type)) in ('defines', 'contains') and lower(trim(source_id)) like 'project:%' and target_id is not null""",
+    "links": """select distinct lower(trim(source_id)) type_name, lower(trim(target_id)) base_name from edges where lower(trim(type)) in ('defines', 'contains') and source_id is not null and target_id is not null""",
     "settings": """select doc_pos seq, display_name as key, concat(case when doc_pos % 4 = 0 then '' else 'http://' end, coalesce(repository_name, 'none'), '/api') as value, repository_name repository_path
         from nodes where lower(trim(type)) = 'configurationkey' and display_name is not null""",
     "clients": """select doc_pos client_no, substring(trim(display_name), 1, 4) hint, repository_name repository_path from nodes where lower(trim(type)) = 'httpclient' and length(trim(display_name)) > 4""",
@@ -106,7 +107,8 @@ up(type_name, base_name, depth) as (select n, n, 0 from (select type_name n from
   union select u.type_name, d.base_name, u.depth + 1 from up u join direct d on d.type_name = u.base_name where u.depth < 200)
 select type_name, base_name, min(depth) depth from up group by 1, 2""")
 def inherits_closure(spark: SparkSession, d: str) -> DataFrame:
-    return extract.inherits(fact(spark, d, "bases"))
+    """All links, from nodes of every kind. Its SQL reads `bases`, the links of projects alone, and gives fewer rows (README)."""
+    return extract.inherits(fact(spark, d, "links"))
 
 
 @query("select doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|update|into|table)\\s+([A-Za-z0-9_.\\[\\]]+)', 1)) table_name from documents where text is not null")
