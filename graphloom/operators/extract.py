@@ -309,7 +309,11 @@ def base_urls(clients: DataFrame, config: DataFrame) -> DataFrame:
     has = F.contains(c("k"), c("h"))
     scoped = own.join(good.where(F.contains(c("k"), F.lit("URL"))).withColumnRenamed("repo", "repo2"), c("repo").eqNullSafe(c("repo2")))
     first = scoped.groupBy("client_no").agg(F.min_by("url", F.struct(F.when(has | F.contains(c("v"), c("h")), 0).otherwise(1), "seq")).alias("near"))
-    hints = own.select("h").distinct().join(good.groupBy("k").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq")), has).groupBy("h").agg(F.min_by("url", "seq").alias("named"))
+    # A key contains a hint if the hint is among the key's parts of that length: an equi-join, not every hint with every key.
+    lengths = F.broadcast(own.select(F.length("h").alias("n")).distinct())  # at most as many as the longest name has characters
+    part = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - c("n") + 1), lambda i: F.substring(c("k"), i, c("n")))))
+    parts = good.groupBy("k").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq")).join(lengths, c("n") <= F.length("k")).select(part.alias("h"), "url", "seq")
+    hints = own.select("h").distinct().join(parts, "h").groupBy("h").agg(F.min_by("url", "seq").alias("named"))
     anyone = good.agg(F.min_by("url", "seq").alias("any"))
     return own.join(first, "client_no", "left").join(hints, "h", "left").join(F.broadcast(anyone)).select("client_no", F.coalesce("near", "named", "any").alias("base_url"))
 

@@ -52,6 +52,7 @@ FACTS = {
     "settings": """select doc_pos seq, display_name as key, concat(case when doc_pos % 4 = 0 then '' else 'http://' end, coalesce(repository_name, 'none'), '/api') as value, repository_name repository_path
         from nodes where lower(trim(type)) = 'configurationkey' and display_name is not null""",
     "clients": """select doc_pos client_no, substring(trim(display_name), 1, 4) hint, repository_name repository_path from nodes where lower(trim(type)) = 'httpclient' and length(trim(display_name)) > 4""",
+    "http_clients": """select doc_pos client_no, trim(display_name) hint, repository_name repository_path from nodes where lower(trim(type)) = 'httpclient'""",
     "progress": """select event_id seq, 'load' stage, concat(case event_type when 'view' then 'Loaded ' else 'Failed to load ' end, event_type, ' ', user_id, case when event_id % 7 = 0 then '' else concat(': ', event_type, ' broken') end) message,
         case when event_id % 3 <> 0 then cast(event_id as int) end current, 100000 total from events""",
     "requests": """select doc_pos call_no, coalesce(nullif(regexp_replace(trim(display_name), '^[A-Z]+ ', ''), ''), '/') path, case when doc_pos % 3 <> 0 then lower(trim(repository_name)) end host, project_name client_name,
@@ -130,7 +131,8 @@ named as (select h, first(value order by seq) base_url from (select distinct upp
 select c.client_no, coalesce(n.base_url, m.base_url, (select first(value order by seq) from good)) base_url
 from clients c left join near n using (client_no) left join named m on m.h = upper(c.hint)""")
 def base_url_tiers(spark: SparkSession, d: str) -> DataFrame:
-    return extract.base_urls(fact(spark, d, "clients"), fact(spark, d, "settings"))
+    """Every client with its whole name as hint. Its SQL reads `clients`, the first four characters of longer names (README)."""
+    return extract.base_urls(fact(spark, d, "http_clients"), fact(spark, d, "settings"))
 
 
 _MATCH = """, pairs as (
