@@ -49,8 +49,8 @@ def article_words(text: str) -> Counter | None:
 
 
 def features(grades: np.ndarray, uses: np.ndarray) -> np.ndarray:
-    """Quantiles and mean of the grades of the known words, by kind and by use."""
-    order = np.argsort(grades, kind="stable")
+    """Quantiles and mean of the grades of the known words, by kind and by use; the order of the words does not count."""
+    order = np.lexsort((uses, grades))  # words of one grade by use: the share at which a quantile falls depends on it
     g, u = grades[order], uses[order].astype(float)
     share = np.cumsum(u) / u.sum()
     return np.r_[np.quantile(g, QUANTILES), np.interp(QUANTILES, share, g), g.mean(), (g * u).sum() / u.sum()]
