@@ -15,6 +15,7 @@ from ..operators import extract, merge, reports
 from ..sources import discovery, exchange
 from ..streaming import watch
 from . import graph_data as G
+from . import scan_facts
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -205,6 +206,14 @@ def scan_edges(spark: SparkSession, d: str) -> DataFrame:
     return extract.build(_topology(spark, d)).edges.groupBy("type").agg(F.count("*").alias("edges"))
 
 
+@query()
+def scan_graph(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, type, certainty, rows) of the graph that all contributors build from all fact tables; no SQL, tests count by hand."""
+    g = extract.build(scan_facts.facts(spark, d))
+    n, e = (df.select(F.lit(kind).alias("kind"), "type", "certainty") for df, kind in ((g.nodes, "node"), (g.edges, "edge")))
+    return n.unionByName(e).groupBy("kind", "type", "certainty").agg(F.count("*").alias("rows"))
+
+
 # -- discovery and paths -----------------------------------------------------------------------------------------------
 _FILES = "select distinct lower(trim(id)) id, replace(source_location.file_path, '\\', '/') path from nodes where source_location.file_path is not null"
 
