@@ -43,13 +43,13 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None, upst
     own = None if hasattr(edges, "_graphloom_path") else written(edges.select(*ends).where("source_id is not null and target_id is not null"))
     steps = (edges if own is None else own).select(F.col(ends[0]).alias("source_id"), F.col(ends[1]).alias("target_id"))
     level = written(start.select("node_id").distinct().select("node_id", F.lit(0).alias("depth")))
-    seen, rows, depth = level, counted(level), 0
+    seen, rows, size, depth = level, counted(level), counted(level, "bytes"), 0
     while counted(level) and (max_depth is None or depth < max_depth):
         depth += 1
-        front = small(level.select(F.col("node_id").alias("source_id")), counted(level))
+        front = small(level.select(F.col("node_id").alias("source_id")), level)
         reached = steps.join(front, "source_id").select(F.col("target_id").alias("node_id")).distinct()
-        level = written(reached.join(small(seen.select("node_id"), rows), "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth")))
-        seen, rows = seen.unionByName(level), rows + counted(level)
+        level = written(reached.join(small(seen.select("node_id"), rows=rows, bytes_=size), "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth")))
+        seen, rows, size = seen.unionByName(level), rows + counted(level), size + counted(level, "bytes")
     discard(own)
     return seen
 
@@ -62,9 +62,9 @@ def impact(g: Graph, focus: str, upstream: bool = False, max_depth: int = 6, exa
     """
     usable = g.edges.where(admitted(exact_only, include_ambiguous)).where("source_id is not null and target_id is not null")
     found = written(reach(usable, g.nodes.sparkSession.createDataFrame([(focus,)], "node_id string"), max_depth, upstream))
-    nodes = g.nodes.join(small(found.select(F.col("node_id").alias("id"), "depth"), counted(found)), "id")
+    nodes = g.nodes.join(small(found.select(F.col("node_id").alias("id"), "depth"), found), "id")
     end = "target_id" if upstream else "source_id"
-    edges = usable.join(small(found.where(F.col("depth") < max_depth).select(F.col("node_id").alias(end), "depth"), counted(found)), end)
+    edges = usable.join(small(found.where(F.col("depth") < max_depth).select(F.col("node_id").alias(end), "depth"), found), end)
     return nodes, edges.select(*g.edges.columns, "depth")
 
 
@@ -81,22 +81,21 @@ def paths(g: Graph, source: str, target: str, max_depth: int = 8, exact_only: bo
         return spark.createDataFrame([([source], [], 0)], "node_ids array<string>, edge_ids array<string>, length int")
     usable = written(usable)
     to_go = written(reach(usable, spark.createDataFrame([(target,)], "node_id string"), max_depth, upstream=True))
-    left = small(to_go.select(F.col("node_id").alias("target_id"), F.col("depth").alias("to_go")), counted(to_go))
+    left = small(to_go.select(F.col("node_id").alias("target_id"), F.col("depth").alias("to_go")), to_go)
     steps = written(usable.join(left, "target_id"))
-    rows = 1
-    level = spark.createDataFrame([(source, [source], [])], "at string, node_ids array<string>, edge_ids array<string>")
+    level = grown = written(spark.createDataFrame([(source, [source], [])], "at string, node_ids array<string>, edge_ids array<string>"))
     done = level.where("false")
     for depth in range(1, max_depth + 1):
         ahead = steps.where(F.col("to_go") <= max_depth - depth)
         grown = (
-            ahead.join(small(level, rows), F.col("source_id") == F.col("at"))
+            ahead.join(small(level, grown), F.col("source_id") == F.col("at"))
             .where(~F.array_contains("node_ids", F.col("target_id")))
             .select(F.col("target_id").alias("at"), F.array_append("node_ids", F.col("target_id")).alias("node_ids"), F.array_append("edge_ids", F.col("id")).alias("edge_ids"))
         )
         grown = written(grown, open=F.when(F.col("at") != target, 1))
         done = done.unionByName(grown.where(F.col("at") == target))
-        level, rows = grown.where(F.col("at") != target), counted(grown, "open")
-        if not rows:
+        level = grown.where(F.col("at") != target)
+        if not counted(grown, "open"):
             break
     return done.select("node_ids", "edge_ids", F.size("edge_ids").alias("length"))
 

@@ -45,17 +45,20 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return h.descendants(nodes, nodes)
 
 
-def _profile(spark: SparkSession, d: str) -> DataFrame:
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every key of the three fields with its rows in delivered order: ends, steps back and the widest step on in time."""
     edges, nodes = table(spark, d, "edges"), table(spark, d, "nodes")
-    return skew.key_profile([(edges, "source_id", "scanned_at", "edges.source_id"), (nodes, "project_name", "scanned_at", "nodes.project_name"), (nodes, "repository_name", "scanned_at", "nodes.repository_name")])
+    fields = [(edges, "source_id", "edges.source_id"), (nodes, "project_name", "nodes.project_name"), (nodes, "repository_name", "nodes.repository_name")]
+    profile = skew.key_profile([(df, col, "doc_pos", "scanned_at", name) for df, col, name in fields])
+    return profile.drop("chunks")  # as many as the cluster's partitions make it
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.hot_keys(_profile(spark, d))
+    return skew.hot_keys(p3_profile(spark, d))
 
 
 def p3_key_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _profile(spark, d).select("field_name", "key_value", F.col("rows").alias("key_rows"))
+    return p3_profile(spark, d).select("field_name", "key_value", "key_rows")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +83,7 @@ def p5_changes_by_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_orphans_by_month, p2_found, p2_ranges, p2_paths, p2_descendants, p3_found, p3_key_rows, p4_found, p4_shapes, p5_found, p5_changes_by_snapshot)
+    for f in (p1_found, p1_orphans_by_month, p2_found, p2_ranges, p2_paths, p2_descendants, p3_found, p3_profile, p3_key_rows, p4_found, p4_shapes, p5_found, p5_changes_by_snapshot)
 } | {f"p4_{n}": _flat(n) for n in ("nodes", "edges", "locations", "metadata")}
 
 _P1 = """
@@ -121,9 +124,9 @@ loops as (select distinct start from walk where start = spot)
 """
 _FIELDS = """
 with raw as (
-  select 'edges.source_id' field_name, nullif(lower(trim(source_id)), '') key_value from edges
-  union all select 'nodes.project_name', nullif(lower(trim(project_name)), '') from nodes
-  union all select 'nodes.repository_name', nullif(lower(trim(repository_name)), '') from nodes),
+  select 'edges.source_id' field_name, nullif(lower(trim(source_id)), '') key_value, doc_pos, epoch_us(scanned_at) seen_at from edges
+  union all select 'nodes.project_name', nullif(lower(trim(project_name)), ''), doc_pos, epoch_us(scanned_at) from nodes
+  union all select 'nodes.repository_name', nullif(lower(trim(repository_name)), ''), doc_pos, epoch_us(scanned_at) from nodes),
 total as (select field_name, count(*) n from raw group by 1),
 per_key as (select field_name, key_value, count(*) key_rows from raw where key_value is not null group by 1, 2)
 """
@@ -176,6 +179,11 @@ union all select l.node_id, '', -1, case when o.start is null then 'below' else
     "p2_paths": _P2 + "select node_id, path from down",
     "p2_descendants": _P2 + "select a.node_id ancestor_id, b.node_id, b.depth - a.depth levels from down a join down b on b.root_id = a.root_id and starts_with(b.path, a.path || '/')",
     "p3_found": _FIELDS + "select field_name, key_value from per_key join total using (field_name) where key_rows >= 0.03 * n",
+    "p3_profile": _FIELDS + """, steps as (
+  select *, seen_at - lag(seen_at) over (partition by field_name, key_value order by doc_pos nulls first, seen_at nulls first) step from raw where key_value is not null)
+select field_name, key_value, count(*) key_rows, count(*) / max(n) share, first(seen_at order by doc_pos nulls first, seen_at nulls first) first_at,
+  last(seen_at order by doc_pos nulls first, seen_at nulls first) last_at, count(*) filter (where step < 0) steps_back, max(step) widest_step
+from steps join total using (field_name) group by 1, 2""",
     "p3_key_rows": _FIELDS + "select * from per_key",
     "p4_found": _P4 + """
 select document_id, owner_kind, owner_pos, 'record' child_kind, id child_key from f
