@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import hierarchy as h
 from ..operators import orphans, skew, snapshots, variants
-from ..session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +40,7 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All descendants of every node, by range."""
-    nodes = written(_hierarchy(spark, d))
-    return h.descendants(nodes, nodes)
+    return h.descendants(_hierarchy(spark, d))
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -43,18 +45,19 @@ def _width(value: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
-def written(df: DataFrame, by: tuple[str, ...] = (), **counts: Column) -> DataFrame:
+def written(df: DataFrame, by: tuple[str, ...] = (), kinds: Column | None = None, **counts: Column) -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back.
 
     The files outlive any executor, so a lost executor costs a re-read and not a re-run of everything before. Rows and
-    bytes are counted on the way, and the values of each of `counts` that are not null; see `counted`. `by` names columns
-    whose values become folders, so that a filter on them reads only its part.
+    bytes are counted on the way, and the values of each of `counts` that are not null; see `counted`. `kinds` is a column
+    whose distinct values are estimated (see `few_kinds`). `by` names columns whose values become folders, so that a filter
+    on them reads only its part.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     seen = Observation()
     bytes_ = sum((F.coalesce(_width(F.col(f"`{f.name}`"), f.dataType).cast("long"), F.lit(8)) for f in df.schema), F.lit(0).cast("long"))
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(bytes_).alias("bytes"), *(F.count(c).alias(n) for n, c in counts.items())).write.partitionBy(*by).parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(bytes_).alias("bytes"), *([] if kinds is None else [F.approx_count_distinct(kinds).alias("kinds")]), *(F.count(c).alias(n) for n, c in counts.items())).write.partitionBy(*by).parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
     back._graphloom_path, back._graphloom_counts = path, seen.get
@@ -66,6 +69,13 @@ def counted(df: DataFrame, name: str = "rows") -> int:
     return df._graphloom_counts[name] or 0
 
 
+def few_kinds(df: DataFrame, of: DataFrame) -> DataFrame:
+    """`df`, a row per distinct value of the `kinds` of the written table `of`, with a broadcast hint if those are few.
+    Five standard errors are added to the estimate of their number."""
+    rows = counted(of, "kinds") * 5 // 4 + 1
+    return small(df, rows=rows, bytes_=rows * (2 * counted(of, "bytes") // max(1, counted(of)) + 64))
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by `written` once no plan reads it any more (superseded rounds of a loop)."""
     path = getattr(df, "_graphloom_path", None)
@@ -89,6 +99,18 @@ def _clean() -> None:
             return
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes the intermediate tables written inside; use it around a query whose result is saved or collected there."""
+    before = {path for _, path in _written}
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _written if x[1] not in before]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -59,6 +59,8 @@ def test_random_forest_with_loops(spark):
     asked = nodes.where("node_id in ('n0', 'n1', 'a')")
     found = {(r.ancestor_id, r.node_id, r.levels) for r in h.descendants(nodes, asked).collect()}
     assert found == {(a, n, above[n].index(a) + 1) for n in above for a in above[n] if a in ("n0", "n1")}
+    every = [tuple(r) for r in h.descendants(nodes).collect()]
+    assert sorted(every) == sorted((a, n, i + 1) for n in above for i, a in enumerate(above[n]))
 
 
 def test_deep_chain_and_broad_parent(spark):
@@ -66,6 +68,15 @@ def test_deep_chain_and_broad_parent(spark):
     check(spark, [("root", f"k{i}") for i in range(150)])
 
 
+def test_pointers_that_are_not_broadcast(spark, monkeypatch):
+    """Beyond the broadcast bound pointers are joined, shared ones apart; the result is the same."""
+    from graphloom import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    rng = random.Random(9)
+    check(spark, [(f"n{rng.randrange(max(1, i // 3))}", f"n{i}") for i in range(1, 60)] + [("a", "b"), ("b", "a"), ("b", "q")])
+
+
 def test_only_loops_two_parents_repeats_and_null_ends(spark):
     check(spark, [("x", "y"), ("y", "x")])
     check(spark, [("p2", "c"), ("p1", "c"), ("p1", "c"), (None, "lone"), ("top", None), (None, None)])
