@@ -1,21 +1,41 @@
 """Deeply nested documents to related flat tables.
 
-Payloads stay JVM-side as VARIANT values. A bottom-up tree automaton gives each value a state: leaves by kind, then
-locations and metadata by their children's states, then array elements, then the whole document. The states name the
-structural variant; each variant of a part has its own typed reading, and all of them fill one subtype table that keeps the
-common keys and the link to its parent (document, owner kind, position in the array).
+A bottom-up tree automaton gives each value a state: leaves by kind; locations and metadata by the states of their members;
+elements of the node and edge arrays by the states of theirs; the document itself likewise. The state of an element is its
+structural variant. Elements are written once, routed into one table per variant (a folder of its own), where every value
+of a property has one kind; typed readings of the variants that have a part make the flat tables. `elements` is the
+supertype table of what all variants have: document, owner kind, place in the array, variant and id, which are also the
+links from every child row to its parent. What no property is known for stays in the table `rest`.
+
+Payloads are read JVM-side as VARIANT values. Those that a VARIANT cannot hold (more than 128 MiB, a string of more than
+20 million characters, a key given twice) are read element by element in Python; both readings give the same rows.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import CERTAINTIES, lookup
+from ..session import small, written
+
 #: What may stand around a payload: a byte order mark and blanks.
-AROUND = "\ufeff \t\r\n"
+AROUND = "﻿ \t\r\n"
+#: Properties of an element that have a column, with that column's name; edges have their ends besides.
+TEXTS = {"id": "id", "type": "type", "displayname": "display_name", "repositoryname": "repository_name", "projectname": "project_name", "certainty": "certainty", "sourceid": "source_id", "targetid": "target_id"}
+ENDS, PLACE = ("sourceid", "targetid"), ("filepath", "line", "column")
+NESTED = ("sourcelocation", "metadata")
+#: A value's members, or a list's entries: key, kind of the value, and the value as text (JSON for objects and arrays).
+CELLS = "array<struct<key:string,kind:string,text:string>>"
 _FIRST = "timestamp_ntz '0001-01-01 00:00:00'"
+_RAW = f"document_id long, delivery long, exported timestamp_ntz, loaded timestamp_ntz, chars long, wrapper string, owner_kind string, owner_pos int, is_object boolean, members {CELLS}, place {CELLS}, entries {CELLS}"
 
 
+# -- reading as VARIANT ------------------------------------------------------------------------------------------------
 def members(v: Column) -> Column:
     """A VARIANT object as its (key, value) entries; null for anything else."""
     return F.map_entries(v.try_cast("map<string,variant>"))
@@ -23,7 +43,7 @@ def members(v: Column) -> Column:
 
 def prop(entries: Column, name: str) -> Column:
     """The value of a property, found without regard to the case of its name; of several the last one holds."""
-    found = F.filter(entries, lambda e: F.lower(e["key"]) == name.lower())
+    found = F.filter(entries, lambda e: F.lower(e["key"]) == name)
     return F.get(found, F.size(found) - 1)["value"]
 
 
@@ -40,77 +60,371 @@ def leaf(v: Column) -> Column:
     )
 
 
-def parsed(documents: DataFrame) -> DataFrame:
-    """(document_id, root, doc_state): payloads that hold a whole JSON object, one row per document.
+def _text_of(v: Column, kind: Column) -> Column:
+    return F.when(kind.isin("object", "array"), F.to_json(v)).otherwise(v.try_cast("string"))
+
+
+def _cells(v: Column, without: tuple[str, ...] = ()) -> Column:
+    """Members of an object as cells; the texts of nested members `without` are left out, as they are read on their own."""
+
+    def cell(m: Column) -> Column:
+        kind = leaf(m["value"])
+        text = _text_of(m["value"], kind)
+        if without:
+            text = F.when(~(F.lower(m["key"]).isin(*without) & kind.isin("object", "array")), text)
+        return F.struct(m["key"].alias("key"), kind.alias("kind"), text.alias("text"))
+
+    return F.transform(members(v), cell)
+
+
+def _entries(v: Column) -> Column:
+    """Metadata as cells: a map's members, or a list's {key, value} objects; what has no key keeps its JSON."""
+
+    def entry(x: Column) -> Column:
+        own = members(x)
+        name, value = prop(own, "key").try_cast("string"), prop(own, "value")
+        return F.struct(name.alias("key"), F.when(name.isNotNull(), leaf(value)).otherwise(leaf(x)).alias("kind"), F.when(name.isNotNull(), _text_of(value, leaf(value))).otherwise(_text_of(x, leaf(x))).alias("text"))
+
+    return F.coalesce(_cells(v), F.transform(v.try_cast("array<variant>"), entry))
+
+
+def _read(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw elements of the payloads that a VARIANT holds, deliveries that are left)."""
+    is_object = lambda v: v.try_cast("map<string,variant>").isNotNull()
+    v = F.col("v")
+    inner = F.try_parse_json(F.btrim(v.try_cast("string"), F.lit(AROUND)))
+    tried = deliveries.withColumn("v", F.try_parse_json("text")).withColumn("root", F.when(is_object(v), v).otherwise(inner))
+    whole = tried.where(is_object(F.col("root")))
+    left = tried.where(~F.coalesce(is_object(F.col("root")), F.lit(False))).drop("v", "root")
+    at = ["document_id", "delivery", "exported", "loaded", "chars"]
+    root = whole.select(*at, F.when(is_object(v), "object").otherwise("text>object").alias("wrapper"), F.col("root"), members(F.col("root")).alias("r"))
+    # One row for the document itself, then one per element.
+    listed = lambda name: F.transform(prop(F.col("r"), name + "s").try_cast("array<variant>"), lambda x, i: F.struct(F.lit(name).alias("owner_kind"), i.alias("owner_pos"), x.alias("x")))
+    own = F.array(F.struct(F.lit("document").alias("owner_kind"), F.lit(-1).alias("owner_pos"), F.col("root").alias("x")))
+    none = F.array().cast("array<struct<owner_kind:string,owner_pos:int,x:variant>>")
+    rows = root.select(*at, "wrapper", F.inline(F.concat(own, F.coalesce(listed("node"), none), F.coalesce(listed("edge"), none))))
+    x, document = F.col("x"), F.col("owner_kind") == "document"
+    e = members(x)
+    cells = F.when(document, _cells(x, ("nodes", "edges"))).otherwise(_cells(x, NESTED))
+    read = rows.select(*at, "wrapper", "owner_kind", "owner_pos", is_object(x).alias("is_object"), cells.alias("members"), F.when(~document, _cells(prop(e, "sourcelocation"))).alias("place"), F.when(~document, _entries(prop(e, "metadata"))).alias("entries"))
+    return read, left
+
+
+# -- reading in Python -------------------------------------------------------------------------------------------------
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _decoder() -> json.JSONDecoder:
+    return json.JSONDecoder(parse_constant=_refuse)
+
+
+_BLANK = json.decoder.WHITESPACE
+
+
+def _whole(text: str) -> tuple[str, str, dict[str, int], list[tuple]] | None:
+    """(wrapper, text, where the node and edge arrays start, the other members as cells) of a JSON object; None for any
+    other text. Walks the text member by member and holds one element at a time."""
+    text, wrapper = text.strip(AROUND), "object"
+    try:
+        if text.startswith('"'):
+            text, end = _whole_string(text)
+            if end is None:
+                return None
+            text, wrapper = text.strip(AROUND), "text>object"
+        if not text.startswith("{"):
+            return None
+        read = _decoder().raw_decode
+        lists: dict[str, int] = {}
+        others: dict[str, tuple] = {}
+        at = _BLANK.match(text, 1).end()
+        while text[at] != "}":
+            key, at = json.decoder.scanstring(text, at + 1) if text[at] == '"' else _refuse("key")
+            at = _BLANK.match(text, at).end()
+            at = _BLANK.match(text, at + 1).end() if text[at] == ":" else _refuse("colon")
+            name = key.lower()
+            if name in ("nodes", "edges"):
+                lists.pop(name, None)  # of several the last one holds
+                start = at
+                if text[at] == "[":
+                    lists[name] = start
+                    for _, at in _items(text, start):
+                        pass
+                    others[key] = (key, "array", None)
+                else:
+                    value, at = read(text, at)
+                    others[key] = _cell(key, value)
+            else:
+                value, at = read(text, at)
+                others[key] = _cell(key, value)
+            at = _BLANK.match(text, at).end()
+            if text[at] == ",":
+                at = _BLANK.match(text, at + 1).end()
+                if text[at] == "}":
+                    return None
+            elif text[at] != "}":
+                return None
+        return (wrapper, text, lists, list(others.values())) if at == len(text) - 1 else None
+    except (ValueError, IndexError, RecursionError):
+        return None
+
+
+def _whole_string(text: str) -> tuple[str, int | None]:
+    inner, end = json.decoder.scanstring(text, 1)
+    return inner, end if end == len(text) else None
+
+
+def _items(text: str, at: int) -> Iterator[tuple[list, int]]:
+    """The items of the array that starts at `at`, each as a list of one with the place behind it; the last place is behind
+    the array. An empty array gives one empty list."""
+    read = _decoder().raw_decode
+    at = _BLANK.match(text, at + 1).end()
+    if text[at] == "]":
+        yield [], at + 1
+        return
+    while True:
+        value, at = read(text, at)
+        at = _BLANK.match(text, at).end()
+        if text[at] == "]":
+            yield [value], at + 1
+            return
+        if text[at] != ",":
+            _refuse("comma")
+        yield [value], at
+        at = _BLANK.match(text, at + 1).end()
+
+
+def _clean(text: str) -> str:
+    """Lone surrogates, which no text column can hold, become question marks."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
+
+
+def _cell(key: str, value, with_text: bool = True) -> tuple[str, str, str | None]:
+    if value is None:
+        return _clean(key), "none", None
+    if isinstance(value, str):
+        return _clean(key), "text", _clean(value)
+    if isinstance(value, bool):
+        return _clean(key), "flag", "true" if value else "false"
+    if isinstance(value, (dict, list)):
+        return _clean(key), "object" if isinstance(value, dict) else "array", _clean(json.dumps(value, ensure_ascii=False, separators=(",", ":"))) if with_text else None
+    return _clean(key), "number", str(value)
 
-    A payload that is a JSON string is read once more. doc_state is `object`, or `text>object` where it was wrapped.
-    Null, damaged and other payloads give no row. A document delivered again counts once: the latest export, then the
-    latest load, then the largest payload.
+
+def _named(value: dict, name: str):
+    found = [v for k, v in value.items() if k.lower() == name]
+    return found[-1] if found else None
+
+
+def _element(value) -> tuple:
+    """(is_object, members, place, entries) of one element."""
+    if not isinstance(value, dict):
+        return False, None, None, None
+    place, meta = _named(value, "sourcelocation"), _named(value, "metadata")
+    entries = None
+    if isinstance(meta, dict):
+        entries = [_cell(k, v) for k, v in meta.items()]
+    elif isinstance(meta, list):
+        entries = []
+        for x in meta:
+            name = _named(x, "key") if isinstance(x, dict) else None
+            name = name if name is None or isinstance(name, str) else _cell("", name)[2]
+            entries.append((None, *_cell("", x)[1:]) if name is None else _cell(name, _named(x, "value")))
+    return True, [_cell(k, v, k.lower() not in NESTED) for k, v in value.items()], [_cell(k, v) for k, v in place.items()] if isinstance(place, dict) else None, entries
+
+
+def _read_slowly(deliveries: DataFrame) -> DataFrame:
+    """Raw elements of the payloads among `deliveries` that are whole JSON objects, element by element."""
+    cells = pa.list_(pa.struct([("key", pa.string()), ("kind", pa.string()), ("text", pa.string())]))
+    schema = pa.schema([("document_id", pa.int64()), ("delivery", pa.int64()), ("exported", pa.timestamp("us")), ("loaded", pa.timestamp("us")), ("chars", pa.int64()), ("wrapper", pa.string()), ("owner_kind", pa.string()), ("owner_pos", pa.int32()), ("is_object", pa.bool_()), ("members", cells), ("place", cells), ("entries", cells)])
+    whole, items, element = _whole, _items, _element
+
+    def rows_of(head: tuple, text: str) -> Iterator[tuple]:
+        found = whole(text)
+        if found is None:
+            return
+        wrapper, text, lists, others = found
+        yield *head, wrapper, "document", -1, True, others, None, None
+        for kind in ("node", "edge"):
+            if kind + "s" in lists:
+                for n, (found, _) in enumerate(items(text, lists[kind + "s"])):
+                    for value in found:
+                        yield *head, wrapper, kind, n, *element(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([tuple_to_cells(v) if f.type == cells else v for v in col], f.type) for col, f in zip(zip(*rows), schema)], schema=schema)
+        tuple_to_cells = lambda v: None if v is None else [dict(zip(("key", "kind", "text"), c)) for c in v]
+        for b in batches:
+            for i in range(b.num_rows):
+                head = tuple(b.column(n)[i].as_py() for n in ("document_id", "delivery", "exported", "loaded", "chars"))
+                rows = []
+                for row in rows_of(head, b.column("text")[i].as_py()):
+                    rows.append(row)
+                    if len(rows) == 1000:
+                        yield to_batch(rows)
+                        rows = []
+                if rows:
+                    yield to_batch(rows)
+
+    return deliveries.mapInArrow(run, _RAW)
+
+
+# -- states ------------------------------------------------------------------------------------------------------------
+def _cell_of(cells: Column, name: str) -> Column:
+    """The cell of a property; of several the last one holds."""
+    found = F.filter(cells, lambda c: F.lower(c["key"]) == name)
+    return F.get(found, F.size(found) - 1)
+
+
+def _rest(cells: Column, known: tuple[str, ...]) -> Column:
+    """Cells of properties that are not known and hold something."""
+    return F.filter(cells, lambda c: ~F.lower(c["key"]).isin(*known) & (c["kind"] != "none"))
+
+
+def _state(parts: dict[str, Column], rest: Column) -> Column:
+    """State of an object from those of its known members, in the order of their names; unknown ones count together."""
+    named = [F.when(s != "none", F.concat(F.lit(f"{n}:"), s)) for n, s in sorted(parts.items())]
+    return F.concat_ws(",", *named, F.when(F.size(rest) > 0, F.lit("+rest")))
+
+
+def classified(raw: DataFrame) -> DataFrame:
+    """Raw elements with their columns, and the states `place_state`, `meta_state` and `shape`, computed bottom-up.
+
+    The number of shapes is bounded by the kinds of the known properties, whatever documents hold besides.
     """
-    text = F.btrim(F.col("payload"), F.lit(AROUND))
-    read = documents.where("document_id is not null and payload is not null").select("document_id", "exported_at", "loaded_at", text.alias("text")).withColumn("v", F.try_parse_json("text"))
-    direct = F.col("v").try_cast("map<string,variant>").isNotNull()
-    inner = F.try_parse_json(F.btrim(F.col("v").try_cast("string"), F.lit(AROUND)))
-    whole = (
-        read.where("v is not null")
-        .select("document_id", F.struct(F.coalesce(F.col("exported_at").cast("timestamp_ntz"), F.expr(_FIRST)), F.coalesce(F.col("loaded_at").cast("timestamp_ntz"), F.expr(_FIRST)), "text").alias("age"), F.when(direct, "object").otherwise("text>object").alias("doc_state"), F.when(direct, F.col("v")).otherwise(inner).alias("root"))
-        .where(F.col("root").try_cast("map<string,variant>").isNotNull())
-    )
-    return whole.groupBy("document_id").agg(F.max_by(F.struct("root", "doc_state"), "age").alias("x")).select("document_id", "x.root", "x.doc_state")
+    kind = lambda cells, n: F.coalesce(_cell_of(cells, n)["kind"], F.lit("none"))
+    m, place, entries = F.col("members"), F.col("place"), F.col("entries")
+    # A part that should be an object but is none stays in `rest`, and has the state of its kind.
+    own_place, own_meta = kind(m, "sourcelocation"), kind(m, "metadata")
+    place_rest = F.coalesce(_rest(place, PLACE), F.array().cast(CELLS))
+    place_state = F.when(own_place == "object", F.concat(F.lit("place("), _state({n: kind(place, n) for n in PLACE}, place_rest), F.lit(")"))).otherwise(own_place)
+    values = F.array_join(F.array_sort(F.array_distinct(F.transform(entries, lambda c: F.when(c["key"].isNull(), F.concat(F.lit("keyless:"), c["kind"])).otherwise(c["kind"])))), "|")
+    meta_state = F.when(own_meta == "object", F.concat(F.lit("map("), values, F.lit(")"))).when(own_meta == "array", F.concat(F.lit("list("), values, F.lit(")"))).otherwise(own_meta)
+    document, edge = F.col("owner_kind") == "document", F.col("owner_kind") == "edge"
+    texts = {n: _cell_of(m, n) for n in TEXTS}
+    known = (*(n for n in TEXTS if n not in ENDS), *NESTED)
+    odd = F.filter(m, lambda c: F.lower(c["key"]).isin(*NESTED) & c["kind"].isin("text", "flag", "number") | ((F.lower(c["key"]) == "sourcelocation") & (c["kind"] == "array")))
+    rest = F.when(document, _rest(m, ("nodes", "edges"))).when(edge, F.concat(_rest(m, (*known, *ENDS)), odd)).otherwise(F.concat(_rest(m, known), odd))
+    staged = raw.select(
+        "document_id", "delivery", "exported", "loaded", "chars", "wrapper", "owner_kind", "owner_pos", "is_object", "entries",
+        *(F.when(~document & (F.lit(n not in ENDS) | edge), texts[n]).alias(f"t_{n}") for n in TEXTS),
+        F.struct(*(_cell_of(place, n)["text"].alias(n) for n in PLACE)).alias("place"),
+        F.coalesce(rest, F.array().cast(CELLS)).alias("rest"), place_rest.alias("place_rest"),
+        place_state.alias("place_state"), meta_state.alias("meta_state"),
+        *(kind(m, n).alias(f"k_{n}") for n in ("nodes", "edges")),
+    )
+    text_states = {n: F.coalesce(F.col(f"t_{n}.kind"), F.lit("none")) for n in TEXTS}
+    whole = F.when(document, _state({"nodes": F.col("k_nodes"), "edges": F.col("k_edges")}, F.col("rest"))).otherwise(_state({**text_states, "sourcelocation": F.col("place_state"), "metadata": F.col("meta_state")}, F.col("rest")))
+    head = F.when(document, F.concat(F.lit("document:"), "wrapper")).otherwise(F.col("owner_kind"))
+    shape = F.when(F.col("is_object"), F.concat(head, F.lit("("), whole, F.lit(")"))).otherwise(F.concat(head, F.lit(":no object")))
+    none = F.lit("none")
+    shaped = staged.select(
+        "document_id", "delivery", "exported", "loaded", "chars", "owner_kind", "owner_pos", *(F.col(f"t_{n}.text").alias(c) for n, c in TEXTS.items()),
+        "place", "entries", "rest", "place_rest", F.coalesce("place_state", none).alias("place_state"), F.coalesce("meta_state", none).alias("meta_state"), F.coalesce(F.col("t_certainty.kind"), none).alias("certainty_state"), shape.alias("shape"),
+    )
+    return shaped.withColumn("variant", F.lower(F.hex(F.xxhash64("shape"))))
 
 
-def elements(whole: DataFrame) -> DataFrame:
-    """(document_id, owner_kind, owner_pos, doc_state, location_state, metadata_state, and the parts as entries or VARIANT).
+class Variants:
+    """The elements of a table of documents, written once by structural variant, and the typed readings of them.
 
-    One row per element of the node and edge arrays. An absent, null or non-array list has no elements; an element that is
-    no object has no parts.
+    `documents` is (document_id, exported_at, loaded_at, payload). A payload counts if it is a JSON object, or a JSON string
+    that holds one. A document delivered again counts once: the latest export, then the latest load, then the longest
+    payload. Rows without document_id are left out; documents without a whole payload are in `rejected`. A null, absent or
+    non-array list has no elements; an element that is no object has a row in `elements` and no parts. Empty tables give
+    empty results.
     """
-    root = whole.select("document_id", "doc_state", members(F.col("root")).alias("r"))
-    lists = root.select("document_id", "doc_state", F.inline(F.array(F.struct(F.lit("node").alias("owner_kind"), prop(F.col("r"), "nodes").try_cast("array<variant>").alias("list")), F.struct(F.lit("edge").alias("owner_kind"), prop(F.col("r"), "edges").try_cast("array<variant>").alias("list")))))
-    rows = lists.select("document_id", "doc_state", "owner_kind", F.posexplode("list").alias("owner_pos", "e")).withColumn("e", members(F.col("e")))
-    rows = rows.withColumn("location", prop(F.col("e"), "sourcelocation")).withColumn("metadata", prop(F.col("e"), "metadata"))
-    place = members(F.col("location"))
-    has = lambda n: leaf(prop(place, n)) != "none"
-    location_state = F.when(leaf(F.col("location")) != "object", "none").otherwise(F.concat(F.lit("file"), F.when(has("line"), "+line").otherwise(""), F.when(has("column"), "+column").otherwise("")))
-    kind = leaf(F.col("metadata"))
-    metadata_state = F.when(kind == "object", "map").when(kind == "array", "entries").otherwise("none")
-    return rows.select("document_id", "owner_kind", "owner_pos", "doc_state", location_state.alias("location_state"), metadata_state.alias("metadata_state"), "e", "location", "metadata")
 
+    def __init__(self, documents: DataFrame) -> None:
+        at = lambda n: F.coalesce(F.col(n).cast("timestamp_ntz"), F.expr(_FIRST))
+        text = F.btrim(F.col("payload"), F.lit(AROUND))
+        self._all = documents.where("document_id is not null").select(F.col("document_id").cast("long").alias("document_id"), F.monotonically_increasing_id().alias("delivery"), at("exported_at").alias("exported"), at("loaded_at").alias("loaded"), F.length("payload").cast("long").alias("chars"), text.alias("text"))
+        read, left = _read(self._all.where("text != ''"))
+        raw = read.unionByName(_read_slowly(left.select("document_id", "delivery", "exported", "loaded", "chars", "text")))
+        # Rows of a variant come together before they are written; large variants are split over tasks, small ones are not.
+        routed = classified(raw).hint("rebalance", F.col("owner_kind"), F.col("variant"))
+        self._rows = written(routed, by=("owner_kind", "variant"))
+        of = self._rows.where("owner_kind = 'document'").select("document_id", "delivery", F.struct("exported", "loaded", "chars", "delivery").alias("age"))
+        best = of.groupBy("document_id").agg(F.max("age.delivery").alias("last"), F.max_by("delivery", "age").alias("kept"), F.count("*").alias("n"))
+        older = of.join(best.where("n > 1").select("document_id", "kept"), "document_id").where("delivery != kept").select("delivery")
+        self._older = written(older)
+        self._shapes = written(self._kept(self._rows).groupBy("owner_kind", "variant", "shape", "place_state", "meta_state", "certainty_state", (F.size("rest") > 0).alias("has_rest"), (F.size("place_rest") > 0).alias("has_place_rest")).agg(F.count("*").alias("elements")))
 
-def _text(entries: Column, name: str) -> Column:
-    return prop(entries, name).try_cast("string")
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        return rows.join(small(self._older), "delivery", "left_anti")
 
+    def route(self, condition: str) -> DataFrame:
+        """The rows of the variants whose states meet a condition; other variants' tables are not read."""
+        chosen = [r.variant for r in self._shapes.where(condition).select("variant").distinct().collect()]  # a row per shape
+        return self._kept(self._rows.where(F.col("variant").isin(chosen))).where(condition.replace("has_rest", "size(rest) > 0").replace("has_place_rest", "size(place_rest) > 0"))
 
-def flat_tables(documents: DataFrame) -> dict[str, DataFrame]:
-    """The typed tables `nodes`, `edges`, `locations`, `metadata` and `shapes`; all but the last keep document_id,
-    owner_kind and owner_pos, which name the parent element. Values are as written; numbers that do not fit are null.
-    """
-    all_ = elements(parsed(documents))
-    at = ["document_id", "owner_kind", "owner_pos"]
-    e = F.col("e")
-    common = [_text(e, "id").alias("id"), _text(e, "type").alias("type"), _text(e, "displayname").alias("display_name"), _text(e, "repositoryname").alias("repository_name"), _text(e, "projectname").alias("project_name"), _text(e, "certainty").alias("certainty")]
-    place = members(F.col("location"))
-    by_map = all_.where("metadata_state = 'map'").select(*at, F.posexplode(members(F.col("metadata"))).alias("entry_pos", "m")).select(*at, "entry_pos", F.col("m.key").alias("key"), F.col("m.value").try_cast("string").alias("value"))
-    by_entry = all_.where("metadata_state = 'entries'").select(*at, F.posexplode(F.col("metadata").try_cast("array<variant>")).alias("entry_pos", "m")).withColumn("m", members(F.col("m")))
-    by_entry = by_entry.select(*at, "entry_pos", _text(F.col("m"), "key").alias("key"), _text(F.col("m"), "value").alias("value")).where("key is not null")
-    return {
-        "nodes": all_.where("owner_kind = 'node'").select(*at, *common),
-        "edges": all_.where("owner_kind = 'edge'").select(*at, *common, _text(e, "sourceid").alias("source_id"), _text(e, "targetid").alias("target_id")),
-        "locations": all_.where("location_state != 'none'").select(*at, _text(place, "filepath").alias("file_path"), prop(place, "line").try_cast("int").alias("line"), prop(place, "column").try_cast("int").alias("column")),
-        "metadata": by_map.unionByName(by_entry),
-        "shapes": all_.groupBy("owner_kind", "doc_state", "location_state", "metadata_state").agg(F.count("*").alias("elements")),
-    }
-
-
-def child_rows(documents: DataFrame) -> DataFrame:
-    """(document_id, owner_kind, owner_pos, child_kind, child_key): the records, locations and metadata entries of each
-    element, each once, read from the variant tables in one pass over the elements."""
-    rows = elements(parsed(documents))
-    record = F.array(F.struct(F.lit("record").alias("child_kind"), _text(F.col("e"), "id").alias("child_key")))
-    none = F.array().cast("array<struct<child_kind:string,child_key:string>>")
-    location = F.when(F.col("location_state") != "none", F.array(F.struct(F.lit("location").alias("child_kind"), _text(members(F.col("location")), "filepath").alias("child_key")))).otherwise(none)
-    entry = lambda k: F.struct(F.lit("metadata").alias("child_kind"), k.alias("child_key"))
-    by_map = F.transform(members(F.col("metadata")), lambda m: entry(m["key"]))
-    listed = F.filter(F.transform(F.col("metadata").try_cast("array<variant>"), lambda m: _text(members(m), "key")), lambda k: k.isNotNull())
-    metadata = F.array_distinct(F.when(F.col("metadata_state") == "map", by_map).when(F.col("metadata_state") == "entries", F.transform(listed, entry)).otherwise(none))
-    return rows.select("document_id", "owner_kind", "owner_pos", F.inline(F.concat(record, location, metadata)))
+    @property
+    def shapes(self) -> DataFrame:
+        """(owner_kind, shape, elements): how many elements each structural variant has; documents themselves too."""
+        return self._shapes.groupBy("owner_kind", "shape").agg(F.sum("elements").alias("elements"))
+
+    @property
+    def elements(self) -> DataFrame:
+        """(document_id, owner_kind, owner_pos, variant, id): what all variants have."""
+        return self.route("owner_kind != 'document'").select("document_id", "owner_kind", "owner_pos", "variant", "id")
+
+    def _typed(self, kind: str, ends: list[str]) -> DataFrame:
+        columns = ["document_id", "owner_kind", "owner_pos", "id", "type", "display_name", "repository_name", "project_name", "certainty", *ends]
+        by_name = lookup(F.col("certainty"), {n: i for i, n in enumerate(CERTAINTIES)})
+        readings = {"certainty_state = 'number'": F.col("certainty").try_cast("tinyint"), "certainty_state = 'text'": by_name, "certainty_state not in ('number', 'text')": F.lit(None)}
+        out = None
+        for condition, rank in readings.items():
+            one = self.route(f"owner_kind = '{kind}' and {condition}").select(*columns, rank.cast("tinyint").alias("certainty_rank"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    @property
+    def nodes(self) -> DataFrame:
+        """Node elements: values as written, and certainty_rank 0 to 3, by number or by name as the variant has it."""
+        return self._typed("node", [])
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._typed("edge", ["source_id", "target_id"])
+
+    @property
+    def locations(self) -> DataFrame:
+        """(document_id, owner_kind, owner_pos, file_path, line, column); numbers that do not fit are null."""
+        rows = self.route("place_state like 'place(%'")
+        return rows.select("document_id", "owner_kind", "owner_pos", F.col("place.filepath").alias("file_path"), F.col("place.line").try_cast("int").alias("line"), F.col("place.column").try_cast("int").alias("column"))
+
+    def _entries(self) -> DataFrame:
+        rows = self.route("meta_state like 'map(%' or meta_state like 'list(%'")
+        keys = F.transform("entries", lambda c: c["key"])
+        return rows.select("document_id", "owner_kind", "owner_pos", keys.alias("keys"), F.posexplode("entries").alias("entry_pos", "m")).where("m.key is not null").withColumn("is_first", F.array_position("keys", F.col("m.key")) == F.col("entry_pos") + 1)
+
+    @property
+    def metadata(self) -> DataFrame:
+        """(document_id, owner_kind, owner_pos, entry_pos, key, value): entries in order, null values and repeated keys too."""
+        return self._entries().select("document_id", "owner_kind", "owner_pos", "entry_pos", F.col("m.key").alias("key"), F.col("m.text").alias("value"))
+
+    @property
+    def rest(self) -> DataFrame:
+        """(document_id, owner_kind, owner_pos, key, kind, value): everything that no other table has a column for."""
+        at = ["document_id", "owner_kind", "owner_pos"]
+        own = self.route("has_rest").select(*at, F.inline("rest"))
+        place = self.route("has_place_rest").select(*at, F.inline("place_rest")).withColumn("key", F.concat(F.lit("sourceLocation."), "key"))
+        keyless = self.route("meta_state like '%keyless:%'").select(*at, F.posexplode("entries").alias("n", "m")).where("m.key is null").select(*at, F.concat(F.lit("metadata["), F.col("n").cast("string"), F.lit("]")).alias("key"), "m.kind", "m.text")
+        return own.unionByName(place).unionByName(keyless).withColumnRenamed("text", "value")
+
+    @property
+    def rejected(self) -> DataFrame:
+        """(document_id, reason): documents of which no delivery is a whole JSON object: `empty` or `damaged`."""
+        read = self._rows.where("owner_kind = 'document'").select("document_id").distinct()
+        one = self._all.groupBy("document_id").agg(F.count_if(F.coalesce(F.col("text") != "", F.lit(False))).alias("n"))
+        return one.join(read, "document_id", "left_anti").select("document_id", F.when(F.col("n") == 0, "empty").otherwise("damaged").alias("reason"))
+
+    @property
+    def child_rows(self) -> DataFrame:
+        """(document_id, owner_kind, owner_pos, child_kind, child_key): the records, locations and metadata entries of each
+        element, each once, from the tables above."""
+        at = ["document_id", "owner_kind", "owner_pos"]
+        records = self.elements.select(*at, F.lit("record").alias("child_kind"), F.col("id").alias("child_key"))
+        places = self.locations.select(*at, F.lit("location").alias("child_kind"), F.col("file_path").alias("child_key"))
+        keys = self._entries().where("is_first").select(*at, F.lit("metadata").alias("child_kind"), F.col("m.key").alias("child_key"))
+        return records.unionByName(places).unionByName(keys)

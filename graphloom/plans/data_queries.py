@@ -59,16 +59,16 @@ def p3_key_rows(spark: SparkSession, d: str) -> DataFrame:
     return p3_profile(spark, d).select("field_name", "key_value", "key_rows")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return variants.child_rows(table(spark, d, "graph_documents"))
+def _variants(spark: SparkSession, d: str) -> variants.Variants:
+    return variants.Variants(table(spark, d, "graph_documents"))
 
 
-def p4_shapes(spark: SparkSession, d: str) -> DataFrame:
-    return variants.flat_tables(table(spark, d, "graph_documents"))["shapes"]
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _variants(spark, d).child_rows
 
 
 def _flat(name: str):
-    return lambda spark, d: variants.flat_tables(table(spark, d, "graph_documents"))[name]
+    return lambda spark, d: getattr(_variants(spark, d), name)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +81,8 @@ def p5_changes_by_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_orphans_by_month, p2_found, p2_ranges, p2_paths, p2_descendants, p3_found, p3_profile, p3_key_rows, p4_found, p4_shapes, p5_found, p5_changes_by_snapshot)
-} | {f"p4_{n}": _flat(n) for n in ("nodes", "edges", "locations", "metadata")}
+    for f in (p1_found, p1_orphans_by_month, p2_found, p2_ranges, p2_paths, p2_descendants, p3_found, p3_profile, p3_key_rows, p4_found, p5_found, p5_changes_by_snapshot)
+} | {f"p4_{n}": _flat(n) for n in ("shapes", "nodes", "edges", "locations", "metadata", "rest", "rejected")}
 
 _P1 = """
 with refs as (
@@ -152,17 +152,49 @@ where a.id is null or b.id is null or a.body is distinct from b.body""", f"""
 _P4 = """
 with t as (select distinct document_id, trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) txt from graph_documents where payload is not null and document_id is not null),
 a as (select document_id, case when json_valid(txt) then txt::json end v from t),
-b as (select document_id, case json_type(v) when 'OBJECT' then v when 'VARCHAR' then case when json_valid(v->>'$') then (v->>'$')::json end end r from a where v is not null),
+b as (select document_id, json_type(v) outer_type, case json_type(v) when 'OBJECT' then v when 'VARCHAR' then case when json_valid(v->>'$') then (v->>'$')::json end end r from a where v is not null),
 l as (select document_id, 'node' owner_kind, json_extract(coalesce(r->'nodes', r->'Nodes'), '$[*]') l from b where r is not null and json_type(r) = 'OBJECT'
   union all select document_id, 'edge', json_extract(coalesce(r->'edges', r->'Edges'), '$[*]') from b where r is not null and json_type(r) = 'OBJECT'),
 e as (select document_id, owner_kind, unnest(l) el, unnest(range(len(l)))::int owner_pos from l),
-f as (select distinct document_id, owner_kind, owner_pos, coalesce(el->>'id', el->>'Id') id, coalesce(el->>'type', el->>'Type') as type, coalesce(el->>'displayName', el->>'DisplayName') display_name,
+f as (select distinct document_id, owner_kind, owner_pos, el, coalesce(el->>'id', el->>'Id') id, coalesce(el->>'type', el->>'Type') as type, coalesce(el->>'displayName', el->>'DisplayName') display_name,
   coalesce(el->>'repositoryName', el->>'RepositoryName') repository_name, coalesce(el->>'projectName', el->>'ProjectName') project_name, coalesce(el->>'certainty', el->>'Certainty') certainty,
   coalesce(el->>'sourceId', el->>'SourceId') source_id, coalesce(el->>'targetId', el->>'TargetId') target_id,
   coalesce(el->'sourceLocation', el->'SourceLocation') place, coalesce(el->'metadata', el->'Metadata') meta from e),
+g as (select *, coalesce(try_cast(certainty as tinyint), list_position(['unresolved', 'ambiguous', 'inferred', 'exact'], lower(trim(certainty))) - 1)::tinyint certainty_rank from f),
 m as (select document_id, owner_kind, owner_pos, unnest(json_keys(meta)) k from f where json_type(meta) = 'OBJECT'
-  union all select document_id, owner_kind, owner_pos, coalesce(x->>'key', x->>'Key') from (select *, unnest(json_extract(meta, '$[*]')) x from f where json_type(meta) = 'ARRAY'))
+  union all select document_id, owner_kind, owner_pos, coalesce(x->>'key', x->>'Key') from (select *, unnest(json_extract(meta, '$[*]')) x from f where json_type(meta) = 'ARRAY')),
+mv as (select document_id, owner_kind, owner_pos, unnest(range(len(json_keys(meta))))::int entry_pos, unnest(json_keys(meta)) as key, unnest(json_extract(meta, '$.*')) v from f where json_type(meta) = 'OBJECT'
+  union all select document_id, owner_kind, owner_pos, entry_pos, coalesce(x->>'key', x->>'Key'), coalesce(x->'value', x->'Value') from (select *, unnest(json_extract(meta, '$[*]')) x, unnest(range(json_array_length(meta)::bigint))::int entry_pos from f where json_type(meta) = 'ARRAY'))
 """
+#: DuckDB: kind of a JSON value.
+_KIND = "case json_type({0}) when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'text' when 'BOOLEAN' then 'flag' when 'NULL' then 'none' else case when json_type({0}) is null then 'none' else 'number' end end"
+_NAMES = ("certainty", "displayName", "id", "metadata", "projectName", "repositoryName", "sourceId", "sourceLocation", "targetId", "type")
+
+
+def _kind(value: str) -> str:
+    return _KIND.format(value)
+
+
+def _either(of: str, name: str) -> str:
+    return f"coalesce({of}->'{name}', {of}->'{name[0].upper()}{name[1:]}')"
+
+
+def _p4_shapes() -> str:
+    own = {n: _kind(_either("el", n)) for n in _NAMES}
+    place = " || ".join(["'place('", "concat_ws(',', " + ", ".join(f"case when {_kind(_either('place', n))} <> 'none' then '{n.lower()}:' || {_kind(_either('place', n))} end" for n in ("column", "filePath", "line")) + ")", "')'"])
+    own["sourceLocation"] = f"case when json_type(place) = 'OBJECT' then {place} else {_kind('place')} end"
+    values = f"coalesce((select array_to_string(list_sort(list_distinct(list({_kind('v')}))), '|') from mv where mv.document_id = g.document_id and mv.owner_kind = g.owner_kind and mv.owner_pos = g.owner_pos), '')"
+    own["metadata"] = f"case json_type(meta) when 'OBJECT' then 'map(' || {values} || ')' when 'ARRAY' then 'list(' || {values} || ')' else {_kind('meta')} end"
+    known = ", ".join(f"'{n.lower()}'" for n in _NAMES)
+    rest = f"case when len(list_filter(json_keys(el), lambda k: not list_contains([{known}], lower(k)))) > 0 then '+rest' end"
+    parts = ", ".join(f"(select case when s <> 'none' then '{n.lower()}:' || s end from (select {own[n]} s))" for n in _NAMES)
+    element = f"select owner_kind, owner_kind || '(' || concat_ws(',', {parts}, {rest}) || ')' shape from g"
+    lists = ", ".join(f"case when {_kind(_either('r', n))} <> 'none' then '{n}:' || {_kind(_either('r', n))} end" for n in ("edges", "nodes"))
+    more = "case when len(list_filter(json_keys(r), lambda k: lower(k) not in ('nodes', 'edges') and json_type(r, '$.\"' || k || '\"') <> 'NULL')) > 0 then '+rest' end"
+    document = f"select 'document', 'document:' || case outer_type when 'OBJECT' then 'object' else 'text>object' end || '(' || concat_ws(',', {lists}, {more}) || ')' from b where json_type(r) = 'OBJECT'"
+    return f"select owner_kind, shape, count(*) elements from ({element} union all {document}) group by 1, 2"
+
+
 _N, _NR = _p5("node", "")
 _E, _ER = _p5("edge", "source_id target_id")
 _P5 = f"with {_NR}, {_ER}, found as ({_N} union all {_E})"
@@ -187,8 +219,12 @@ from steps join total using (field_name) group by 1, 2""",
 select document_id, owner_kind, owner_pos, 'record' child_kind, id child_key from f
 union all select document_id, owner_kind, owner_pos, 'location', coalesce(place->>'filePath', place->>'FilePath') from f where json_type(place) = 'OBJECT'
 union all select distinct document_id, owner_kind, owner_pos, 'metadata', k from m where k is not null""",
-    "p4_nodes": _P4 + "select document_id, owner_kind, owner_pos, id, type, display_name, repository_name, project_name, certainty from f where owner_kind = 'node'",
-    "p4_edges": _P4 + "select document_id, owner_kind, owner_pos, id, type, display_name, repository_name, project_name, certainty, source_id, target_id from f where owner_kind = 'edge'",
+    "p4_shapes": _P4 + _p4_shapes(),
+    "p4_nodes": _P4 + "select document_id, owner_kind, owner_pos, id, type, display_name, repository_name, project_name, certainty, certainty_rank from g where owner_kind = 'node'",
+    "p4_edges": _P4 + "select document_id, owner_kind, owner_pos, id, type, display_name, repository_name, project_name, certainty, certainty_rank, source_id, target_id from g where owner_kind = 'edge'",
+    "p4_metadata": _P4 + "select distinct document_id, owner_kind, owner_pos, entry_pos, key, v->>'$' as value from mv where key is not null",
+    "p4_rejected": _P4 + """select document_id, case when count(*) filter (where trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) <> '') = 0 then 'empty' else 'damaged' end reason
+from graph_documents where document_id is not null and document_id not in (select document_id from b where json_type(r) = 'OBJECT') group by 1""",
     "p4_locations": _P4 + """select document_id, owner_kind, owner_pos, coalesce(place->>'filePath', place->>'FilePath') file_path, coalesce(place->>'line', place->>'Line')::int line,
 coalesce(place->>'column', place->>'Column')::int as column from f where json_type(place) = 'OBJECT'""",
     "p5_found": _P5 + "select * from found",
