@@ -2,10 +2,10 @@
 
 A bottom-up tree automaton gives each value a state: leaves by kind; locations and metadata by the states of their members;
 elements of the node and edge arrays by the states of theirs; the document itself likewise. The state of an element is its
-structural variant. Elements are written once, routed into one table per variant (a folder of its own), where every value
-of a property has one kind; typed readings of the variants that have a part make the flat tables. `elements` is the
-supertype table of what all variants have: document, owner kind, place in the array, variant and id, which are also the
-links from every child row to its parent. What no property is known for stays in the table `rest`.
+structural variant. Elements are written once, each variant routed to the subtype table (a folder of its own) of those that
+are read alike; typed readings of the subtypes that have a part make the flat tables, and other subtypes are not opened for
+them. `elements` is the supertype table of what all variants have: document, owner kind, place in the array, variant and id,
+which are also the links from every child row to its parent. What no property is known for stays in the table `rest`.
 
 Payloads are read JVM-side as VARIANT values. Those that a VARIANT cannot hold (more than 128 MiB, a string of more than
 20 million characters, a key given twice) are read element by element in Python; both readings give the same rows.
@@ -293,11 +293,13 @@ def classified(raw: DataFrame) -> DataFrame:
     The number of shapes is bounded by the kinds of the known properties, whatever documents hold besides.
     """
     kind = lambda cells, n: F.coalesce(_cell_of(cells, n)["kind"], F.lit("none"))
-    m, place, entries = F.col("members"), F.col("place"), F.col("entries")
+    m, place = F.col("members"), F.col("place")
     # A part that should be an object but is none stays in `rest`, and has the state of its kind.
     own_place, own_meta = kind(m, "sourcelocation"), kind(m, "metadata")
     place_rest = F.coalesce(_rest(place, PLACE), F.array().cast(CELLS))
     place_state = F.when(own_place == "object", F.concat(F.lit("place("), _state({n: kind(place, n) for n in PLACE}, place_rest), F.lit(")"))).otherwise(own_place)
+    # A map's entries have no order of their own, so they come in that of their keys.
+    entries = F.when(own_meta == "object", F.array_sort("entries")).otherwise(F.col("entries"))
     values = F.array_join(F.array_sort(F.array_distinct(F.transform(entries, lambda c: F.when(c["key"].isNull(), F.concat(F.lit("keyless:"), c["kind"])).otherwise(c["kind"])))), "|")
     meta_state = F.when(own_meta == "object", F.concat(F.lit("map("), values, F.lit(")"))).when(own_meta == "array", F.concat(F.lit("list("), values, F.lit(")"))).otherwise(own_meta)
     document, edge = F.col("owner_kind") == "document", F.col("owner_kind") == "edge"
@@ -306,7 +308,7 @@ def classified(raw: DataFrame) -> DataFrame:
     odd = F.filter(m, lambda c: F.lower(c["key"]).isin(*NESTED) & c["kind"].isin("text", "flag", "number") | ((F.lower(c["key"]) == "sourcelocation") & (c["kind"] == "array")))
     rest = F.when(document, _rest(m, ("nodes", "edges"))).when(edge, F.concat(_rest(m, (*known, *ENDS)), odd)).otherwise(F.concat(_rest(m, known), odd))
     staged = raw.select(
-        "document_id", "delivery", "exported", "loaded", "chars", "wrapper", "owner_kind", "owner_pos", "is_object", "entries",
+        "document_id", "delivery", "exported", "loaded", "chars", "wrapper", "owner_kind", "owner_pos", "is_object", entries.alias("entries"),
         *(F.when(~document & (F.lit(n not in ENDS) | edge), texts[n]).alias(f"t_{n}") for n in TEXTS),
         F.struct(*(_cell_of(place, n)["text"].alias(n) for n in PLACE)).alias("place"),
         F.coalesce(rest, F.array().cast(CELLS)).alias("rest"), place_rest.alias("place_rest"),
@@ -322,7 +324,10 @@ def classified(raw: DataFrame) -> DataFrame:
         "document_id", "delivery", "exported", "loaded", "chars", "owner_kind", "owner_pos", *(F.col(f"t_{n}.text").alias(c) for n, c in TEXTS.items()),
         "place", "entries", "rest", "place_rest", F.coalesce("place_state", none).alias("place_state"), F.coalesce("meta_state", none).alias("meta_state"), F.coalesce(F.col("t_certainty.kind"), none).alias("certainty_state"), shape.alias("shape"),
     )
-    return shaped.withColumn("variant", F.lower(F.hex(F.xxhash64("shape"))))
+    # What decides how a variant is read: the kind of its enum, and which parts it has.
+    part = lambda has, name: F.when(has, name)
+    subtype = F.concat_ws("-", F.concat(F.lit("enum_"), "certainty_state"), part(F.startswith("place_state", F.lit("place(")), "place"), part(F.startswith("meta_state", F.lit("map(")), "map"), part(F.startswith("meta_state", F.lit("list(")), "list"), part(F.contains("meta_state", F.lit("keyless:")), "keyless"), part(F.size("rest") > 0, "rest"), part(F.size("place_rest") > 0, "place_rest"))
+    return shaped.withColumn("variant", F.lower(F.hex(F.xxhash64("shape")))).withColumn("subtype", subtype)
 
 
 class Variants:
@@ -341,22 +346,24 @@ class Variants:
         self._all = documents.where("document_id is not null").select(F.col("document_id").cast("long").alias("document_id"), F.monotonically_increasing_id().alias("delivery"), at("exported_at").alias("exported"), at("loaded_at").alias("loaded"), F.length("payload").cast("long").alias("chars"), text.alias("text"))
         read, left = _read(self._all.where("text != ''"))
         raw = read.unionByName(_read_slowly(left.select("document_id", "delivery", "exported", "loaded", "chars", "text")))
-        # Rows of a variant come together before they are written; large variants are split over tasks, small ones are not.
-        routed = classified(raw).hint("rebalance", F.col("owner_kind"), F.col("variant"))
-        self._rows = written(routed, by=("owner_kind", "variant"))
+        # Rows of a subtype come together before they are written; large ones are split over tasks, small ones are not.
+        routed = classified(raw).hint("rebalance", F.col("owner_kind"), F.col("subtype"))
+        self._rows = written(routed, by=("owner_kind", "subtype"))
         of = self._rows.where("owner_kind = 'document'").select("document_id", "delivery", F.struct("exported", "loaded", "chars", "delivery").alias("age"))
         best = of.groupBy("document_id").agg(F.max("age.delivery").alias("last"), F.max_by("delivery", "age").alias("kept"), F.count("*").alias("n"))
         older = of.join(best.where("n > 1").select("document_id", "kept"), "document_id").where("delivery != kept").select("delivery")
         self._older = written(older)
-        self._shapes = written(self._kept(self._rows).groupBy("owner_kind", "variant", "shape", "place_state", "meta_state", "certainty_state", (F.size("rest") > 0).alias("has_rest"), (F.size("place_rest") > 0).alias("has_place_rest")).agg(F.count("*").alias("elements")))
+        self._shapes = written(self._kept(self._rows).groupBy("owner_kind", "subtype", "variant", "shape").agg(F.count("*").alias("elements")))
+        #: A row per kind and subtype, of which there are a few dozen at most.
+        self._subtypes = {(r.owner_kind, tuple(r.subtype.split("-"))) for r in self._rows.select("owner_kind", "subtype").distinct().collect()}
 
     def _kept(self, rows: DataFrame) -> DataFrame:
         return rows.join(small(self._older), "delivery", "left_anti")
 
-    def route(self, condition: str) -> DataFrame:
-        """The rows of the variants whose states meet a condition; other variants' tables are not read."""
-        chosen = [r.variant for r in self._shapes.where(condition).select("variant").distinct().collect()]  # a row per shape
-        return self._kept(self._rows.where(F.col("variant").isin(chosen))).where(condition.replace("has_rest", "size(rest) > 0").replace("has_place_rest", "size(place_rest) > 0"))
+    def route(self, *parts: str, kinds: tuple[str, ...] = ("node", "edge")) -> DataFrame:
+        """The rows of the subtypes that have any of `parts` (all where none is named); other subtypes' folders are not read."""
+        chosen = sorted("-".join(has) for kind, has in self._subtypes if kind in kinds and (not parts or set(parts) & set(has)))
+        return self._kept(self._rows.where(F.col("owner_kind").isin(*kinds) & F.col("subtype").isin(chosen)))
 
     @property
     def shapes(self) -> DataFrame:
@@ -366,16 +373,15 @@ class Variants:
     @property
     def elements(self) -> DataFrame:
         """(document_id, owner_kind, owner_pos, variant, id): what all variants have."""
-        return self.route("owner_kind != 'document'").select("document_id", "owner_kind", "owner_pos", "variant", "id")
+        return self.route().select("document_id", "owner_kind", "owner_pos", "variant", "id")
 
     def _typed(self, kind: str, ends: list[str]) -> DataFrame:
         columns = ["document_id", "owner_kind", "owner_pos", "id", "type", "display_name", "repository_name", "project_name", "certainty", *ends]
         by_name = lookup(F.col("certainty"), {n: i for i, n in enumerate(CERTAINTIES)})
-        readings = {"certainty_state = 'number'": F.col("certainty").try_cast("tinyint"), "certainty_state = 'text'": by_name, "certainty_state not in ('number', 'text')": F.lit(None)}
-        out = None
-        for condition, rank in readings.items():
-            one = self.route(f"owner_kind = '{kind}' and {condition}").select(*columns, rank.cast("tinyint").alias("certainty_rank"))
-            out = one if out is None else out.unionByName(one)
+        readings = {"enum_number": F.col("certainty").try_cast("tinyint"), "enum_text": by_name}
+        out = self.route(*("enum_none", "enum_flag", "enum_object", "enum_array"), kinds=(kind,)).select(*columns, F.lit(None).cast("tinyint").alias("certainty_rank"))
+        for enum, rank in readings.items():
+            out = out.unionByName(self.route(enum, kinds=(kind,)).select(*columns, rank.cast("tinyint").alias("certainty_rank")))
         return out
 
     @property
@@ -390,11 +396,11 @@ class Variants:
     @property
     def locations(self) -> DataFrame:
         """(document_id, owner_kind, owner_pos, file_path, line, column); numbers that do not fit are null."""
-        rows = self.route("place_state like 'place(%'")
+        rows = self.route("place")
         return rows.select("document_id", "owner_kind", "owner_pos", F.col("place.filepath").alias("file_path"), F.col("place.line").try_cast("int").alias("line"), F.col("place.column").try_cast("int").alias("column"))
 
     def _entries(self) -> DataFrame:
-        rows = self.route("meta_state like 'map(%' or meta_state like 'list(%'")
+        rows = self.route("map", "list")
         keys = F.transform("entries", lambda c: c["key"])
         return rows.select("document_id", "owner_kind", "owner_pos", keys.alias("keys"), F.posexplode("entries").alias("entry_pos", "m")).where("m.key is not null").withColumn("is_first", F.array_position("keys", F.col("m.key")) == F.col("entry_pos") + 1)
 
@@ -407,9 +413,9 @@ class Variants:
     def rest(self) -> DataFrame:
         """(document_id, owner_kind, owner_pos, key, kind, value): everything that no other table has a column for."""
         at = ["document_id", "owner_kind", "owner_pos"]
-        own = self.route("has_rest").select(*at, F.inline("rest"))
-        place = self.route("has_place_rest").select(*at, F.inline("place_rest")).withColumn("key", F.concat(F.lit("sourceLocation."), "key"))
-        keyless = self.route("meta_state like '%keyless:%'").select(*at, F.posexplode("entries").alias("n", "m")).where("m.key is null").select(*at, F.concat(F.lit("metadata["), F.col("n").cast("string"), F.lit("]")).alias("key"), "m.kind", "m.text")
+        own = self.route("rest", kinds=("document", "node", "edge")).select(*at, F.inline("rest"))
+        place = self.route("place_rest").select(*at, F.inline("place_rest")).withColumn("key", F.concat(F.lit("sourceLocation."), "key"))
+        keyless = self.route("keyless").select(*at, F.posexplode("entries").alias("n", "m")).where("m.key is null").select(*at, F.concat(F.lit("metadata["), F.col("n").cast("string"), F.lit("]")).alias("key"), "m.kind", "m.text")
         return own.unionByName(place).unionByName(keyless).withColumnRenamed("text", "value")
 
     @property

@@ -163,7 +163,8 @@ f as (select distinct document_id, owner_kind, owner_pos, el, coalesce(el->>'id'
 g as (select *, coalesce(try_cast(certainty as tinyint), list_position(['unresolved', 'ambiguous', 'inferred', 'exact'], lower(trim(certainty))) - 1)::tinyint certainty_rank from f),
 m as (select document_id, owner_kind, owner_pos, unnest(json_keys(meta)) k from f where json_type(meta) = 'OBJECT'
   union all select document_id, owner_kind, owner_pos, coalesce(x->>'key', x->>'Key') from (select *, unnest(json_extract(meta, '$[*]')) x from f where json_type(meta) = 'ARRAY')),
-mv as (select document_id, owner_kind, owner_pos, unnest(range(len(json_keys(meta))))::int entry_pos, unnest(json_keys(meta)) as key, unnest(json_extract(meta, '$.*')) v from f where json_type(meta) = 'OBJECT'
+mv as (select document_id, owner_kind, owner_pos, (row_number() over (partition by document_id, owner_kind, owner_pos order by k) - 1)::int entry_pos, k as key, json_extract(meta, '$."' || k || '"') v
+  from (select document_id, owner_kind, owner_pos, meta, unnest(json_keys(meta)) k from f where json_type(meta) = 'OBJECT')
   union all select document_id, owner_kind, owner_pos, entry_pos, coalesce(x->>'key', x->>'Key'), coalesce(x->'value', x->'Value') from (select *, unnest(json_extract(meta, '$[*]')) x, unnest(range(json_array_length(meta)::bigint))::int entry_pos from f where json_type(meta) = 'ARRAY'))
 """
 #: DuckDB: kind of a JSON value.
