@@ -131,14 +131,18 @@ def small(df: DataFrame, of: DataFrame | None = None, rows: int | None = None, b
 
 
 def shared(spark: SparkSession, value):
-    """Send a bounded value to the executors once; call the result there to get it. Needs no package on executors."""
+    """Send a bounded value to the executors once; call the result there to get it. Needs no package on executors, and a
+    worker process unpacks it once for all its tasks."""
     from pyspark import cloudpickle
 
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    sent = spark.sparkContext.broadcast([cloudpickle.dumps(value)])
 
     def get():
         import pickle
 
-        return pickle.loads(sent.value)
+        box = sent.value  # the same list in every task of a worker
+        if len(box) == 1:
+            box[:] = [None, pickle.loads(box[0])]
+        return box[1]
 
     return get
