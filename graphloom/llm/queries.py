@@ -19,16 +19,28 @@ def p6_use(spark: SparkSession, d: str) -> DataFrame:
     return packing.layout_use(p6_containers(spark, d))
 
 
-def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.matched(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).select("doc_id", "item_id")
+    return _matched(spark, d).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_matched(spark, d))
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.spans(_matched(spark, d))
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_items(p7_leaks(spark, d))
+    return leakage.leaked_items(_matched(spark, d))
+
+
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,5 +51,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.level_profile(p8_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_use, p7_found, p7_leaks, p7_items, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p6_containers, p6_use, p7_found, p7_leaks, p7_spans, p7_items, p7_cleaned, p8_found, p8_profile)}
 SQL: dict[str, str] = {}
