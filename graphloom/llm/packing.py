@@ -2,8 +2,9 @@
 
 Best fit needs only how many items there are of each size, and sizes are whole numbers up to the largest capacity. So the
 fit is made on that histogram: bins with equal contents are kept as one group, and an item size goes to the fullest group
-that has room, for all its items at once. That is best fit in falling order over all items together, on bounded memory. The
-items then get their places by their exact number among the items of their size.
+that has room, for all its items at once. That is best fit in falling order over all items together, on bounded memory.
+Where several capacities are permitted, a second rule opens each bin with the capacity that costs least for what it will
+hold, and the cheaper layout counts. The items then get their places by their exact number among the items of their size.
 """
 
 from __future__ import annotations
@@ -82,9 +83,52 @@ def best_fit(counts: dict[int, int], capacities: list[int], least: int = 0) -> L
     return out
 
 
+def _filled(capacity: int, first: int, sizes: list[int], left: dict[int, int]) -> list[tuple[int, int]]:
+    """What a bin holds that takes an item of size `first`, then always the largest that still fits: (size, how many)."""
+    out, room = [], capacity
+    at = bisect.bisect_right(sizes, first) - 1
+    while at >= 0:
+        size = sizes[at]
+        n = min(left[size], room // size)
+        if n:
+            out.append((size, n))
+            room -= n * size
+        at = min(at, bisect.bisect_right(sizes, room)) - 1
+    return out
+
+
+def by_contents(counts: dict[int, int], capacities: list[int]) -> Layout:
+    """Lay `counts` into bins whose capacity is chosen by what the bin will hold: for the largest item left, each permitted
+    capacity is filled in trial from all items left, and the one of least cost per token placed is opened, as often as its
+    contents are there. Each step uses up an item size, so there are no more steps than sizes."""
+    caps, out, bins = sorted(capacities), Layout(), 0
+    left = {s: n for s, n in counts.items() if n}
+    number = dict.fromkeys(left, 0)
+    sizes = sorted(left)
+    while sizes:
+        size = sizes[-1]
+        trials = [(c, _filled(c, size, sizes, left)) for c in caps if c >= size]
+        capacity, contents = min(trials, key=lambda x: (x[0] / sum(s * n for s, n in x[1]), -x[0]))
+        many = min(left[s] // n for s, n in contents)
+        for s, n in contents:
+            out.runs.append((s, number[s], n * many, bins, n))
+            number[s] += n * many
+            left[s] -= n * many
+            if not left[s]:
+                sizes.pop(bisect.bisect_left(sizes, s))
+        used = sum(s * n for s, n in contents)
+        final = caps[bisect.bisect_left(caps, used)]
+        out.bins.append((bins, many, final))
+        out.cost += many * final
+        bins += many
+    return out
+
+
 def least_cost(counts: dict[int, int], capacities: list[int]) -> Layout:
-    """The cheapest of the best-fit layouts whose new bins have at least each of the permitted capacities."""
-    return min((best_fit(counts, capacities, least) for least in sorted(capacities)), key=lambda x: x.cost)
+    """The cheapest of the layouts: best fit whose new bins have at least each of the permitted capacities, and bins opened by
+    their contents."""
+    layouts = [best_fit(counts, capacities, least) for least in sorted(capacities)]
+    return min([*layouts, by_contents(counts, capacities)], key=lambda x: x.cost)
 
 
 def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -168,6 +212,21 @@ def container_layouts(sizes: DataFrame, kinds: DataFrame) -> DataFrame:
     return out.join(F.broadcast(names), "capacity_tokens").select("layout", "container_no", "container_kind", "capacity_tokens", "doc_id", "piece_no", "first_token", "tokens")
 
 
+def layout_check(sizes: DataFrame, laid: DataFrame, most_kept: DataFrame) -> DataFrame:
+    """(layout, documents, overfull, cut_below, gaps, lost_tokens, is_tight) per layout, which must be: every document with
+    tokens, and no container above its capacity, no document cut that fits the largest capacity of the layout
+    (`most_kept`: layout, most), no document whose pieces leave a gap, no token lost, and at most twice the tokens of
+    capacity in all besides one container, as any two bins of one kind hold more than one's capacity."""
+    bins = laid.groupBy("layout", "container_no", "capacity_tokens").agg(F.sum("tokens").alias("t"))
+    by_bin = bins.groupBy("layout").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"), F.sum("t").alias("laid"), F.sum("capacity_tokens").alias("capacity"))
+    docs = laid.groupBy("layout", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces"), F.max(F.col("first_token") + F.col("tokens")).alias("end"))
+    docs = docs.join(F.broadcast(most_kept), "layout")
+    by_doc = docs.groupBy("layout", "most").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= F.col("most"))).alias("cut_below"), F.count_if(F.col("end") != F.col("t")).alias("gaps"))
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
+    one = by_bin.join(F.broadcast(by_doc), "layout").join(F.broadcast(total))  # a row per layout, and one
+    return one.select("layout", "documents", "overfull", "cut_below", "gaps", (F.col("all_tokens") - F.col("laid")).alias("lost_tokens"), (F.col("capacity") <= 2 * F.col("laid") + F.col("most")).alias("is_tight"))
+
+
 def layout_use(laid: DataFrame) -> DataFrame:
     """Per layout: containers, tokens, capacity and the unused share."""
     own = laid.groupBy("layout", "container_no", "capacity_tokens").agg(F.sum("tokens").alias("tokens"))

@@ -66,6 +66,35 @@ def test_fit_equals_plain_best_fit():
         assert sum(n for _, _, n, _, _ in plan.runs) == len(sizes)
 
 
+def test_mixed_capacities_beat_the_best_single_one(spark):
+    """85 goes twice into 170 and 50 twice into 100, with nothing unused; either capacity alone wastes some."""
+    counts = {85: 60, 50: 60}
+    single = {c: packing.best_fit(counts, [c]).cost for c in (100, 170)}
+    assert single == {100: 9000, 170: 8500}
+    assert packing.least_cost(counts, [100, 170]).cost == 85 * 60 + 50 * 60 == 8100
+    sizes = [(i, 85 if i < 60 else 50) for i in range(120)]
+    rows = laid(spark, sizes, [100, 170])
+    assert check(rows, sizes, [100, 170]) == 8100 and {r.capacity_tokens for r in rows} == {100, 170}
+
+
+def test_bins_by_contents_place_every_item():
+    rng = random.Random(6)
+    for _ in range(60):
+        caps = sorted(rng.sample(range(20, 200), 3))
+        sizes = Counter(rng.randrange(1, caps[-1] + 1) for _ in range(rng.randrange(1, 200)))
+        for plan in (packing.by_contents(sizes, caps), packing.least_cost(sizes, caps)):
+            placed, bins = Counter(), Counter()
+            for size, start, items, first, each in plan.runs:
+                assert start == placed[size]
+                placed[size] += items
+                for k in range(items):
+                    bins[first + k // each] += size
+            assert placed == sizes
+            kinds = {b + k: c for b, n, c in plan.bins for k in range(n)}
+            assert set(kinds) == set(bins) and all(bins[b] <= kinds[b] for b in bins) and sum(kinds.values()) == plan.cost
+            assert plan.cost <= 2 * sum(s * n for s, n in sizes.items()) + caps[-1]
+
+
 def test_layouts_per_kind_and_jointly(spark):
     sizes = spark.createDataFrame([(i, 5 + i % 90) for i in range(300)], "doc_id long, tokens long")
     kinds = spark.createDataFrame([("small", 32), ("large", 128), (None, None)], "container_kind string, capacity_tokens int")

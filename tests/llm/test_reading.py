@@ -52,6 +52,26 @@ def test_without_labels_or_documents(spark):
     assert reading.reading_levels(d, labs).count() == 0
 
 
+def test_many_labels_meet_words_instead_of_texts(spark, monkeypatch):
+    docs = corpus(count=60)
+    d, labs = frames(spark, docs, [(i, "a", lv, T, 0) for i, lv, _ in docs if i % 3 or not i] + [(10**12, "a", 1, T, 0)])
+    want = {tuple(r) for r in reading.reading_levels(d, labs).collect()}
+    monkeypatch.setattr(reading, "BROADCAST_LABELS", 0)
+    got = {r.doc_id for r in reading._labelled(d.select("doc_id", "text"), reading.consensus(labs)).collect()}
+    assert got == {i for i, _, _ in docs if i % 3 or not i}
+    assert {tuple(r) for r in reading.reading_levels(d, labs).collect()} == want
+
+
+def test_language_is_learned(spark):
+    """No list of words: whatever most labelled texts are written in is the language."""
+    german = "der alte kater sass auf der matte und es war sonnig an diesem tag im garten hinter dem haus"
+    english = "the old cat sat on a mat and it was in the sun on that day in the garden behind the house"
+    for own, other in ((german, english), (english, german)):
+        docs = [(1, 0, own + " " + own[::-1].replace(" ", " x")), (2, 0, " ".join(sorted(own.split()))), (3, 0, other), (4, 0, own)]
+        d, labs = frames(spark, docs, [(4, "a", 2, T, 0), (2, "a", 2, T, 0)])
+        assert {2, 4} <= {r.doc_id for r in reading.reading_levels(d, labs).collect()} and 3 not in {r.doc_id for r in reading.reading_levels(d, labs).collect()}
+
+
 def test_consensus(spark):
     t2 = datetime(2025, 1, 2)
     rows = [(1, "a", 1, T, 0), (1, "a", 3, t2, 0), (1, "b", 4, T, 0), (2, "a", 0, T, 0), (3, "a", 2, T, 0), (3, "a", 2, T, 0), (3, "b", 5, T, 0), (3, "c", 5, T, 0), (4, None, 2, None, 0)]
