@@ -47,67 +47,69 @@ def prop(entries: Column, name: str) -> Column:
     return F.get(found, F.size(found) - 1)["value"]
 
 
-def leaf(v: Column) -> Column:
-    """State of a value by its kind alone: none, object, array, text, flag or number."""
-    kind = F.schema_of_variant(v)
+def _kind(schema: Column) -> Column:
+    """State of a value by its kind alone, from its schema: none, object, array, text, flag or number."""
     return (
-        F.when(v.isNull() | (kind == "VOID"), "none")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "text")
-        .when(kind == "BOOLEAN", "flag")
+        F.when(schema.isNull() | (schema == "VOID"), "none")
+        .when(schema.startswith("OBJECT"), "object")
+        .when(schema.startswith("ARRAY"), "array")
+        .when(schema == "STRING", "text")
+        .when(schema == "BOOLEAN", "flag")
         .otherwise("number")
     )
 
 
-def _text_of(v: Column, kind: Column) -> Column:
-    return F.when(kind.isin("object", "array"), F.to_json(v)).otherwise(v.try_cast("string"))
+def _cells(named: Column, without: tuple[str, ...] = ()) -> Column:
+    """Array of (key, value) as cells; the texts of nested members `without` are left out, as they are read on their own.
 
-
-def _cells(v: Column, without: tuple[str, ...] = ()) -> Column:
-    """Members of an object as cells; the texts of nested members `without` are left out, as they are read on their own."""
+    Step by step, as a lambda evaluates what it names several times anew each time.
+    """
+    schemas = F.transform(named, lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value"), F.schema_of_variant(m["value"]).alias("schema")))
+    kinds = F.transform(schemas, lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value"), _kind(m["schema"]).alias("kind")))
 
     def cell(m: Column) -> Column:
-        kind = leaf(m["value"])
-        text = _text_of(m["value"], kind)
+        text = F.when(m["kind"].isin("object", "array"), F.to_json(m["value"])).otherwise(m["value"].try_cast("string"))
         if without:
-            text = F.when(~(F.lower(m["key"]).isin(*without) & kind.isin("object", "array")), text)
-        return F.struct(m["key"].alias("key"), kind.alias("kind"), text.alias("text"))
+            text = F.when(~(m["kind"].isin("object", "array") & F.lower(m["key"]).isin(*without)), text)
+        return F.struct(m["key"].alias("key"), m["kind"].alias("kind"), text.alias("text"))
 
-    return F.transform(members(v), cell)
+    return F.transform(kinds, cell)
 
 
-def _entries(v: Column) -> Column:
-    """Metadata as cells: a map's members, or a list's {key, value} objects; what has no key keeps its JSON."""
+def _listed(entries: Column) -> Column:
+    """A list's {key, value} objects as (key, value); what has no key keeps its whole value."""
+    parts = F.transform(entries, lambda x: F.struct(members(x).alias("own"), x.alias("x")))
+    named = F.transform(parts, lambda p: F.struct(prop(p["own"], "key").try_cast("string").alias("key"), prop(p["own"], "value").alias("value"), p["x"].alias("x")))
+    return F.transform(named, lambda p: F.struct(p["key"].alias("key"), F.when(p["key"].isNotNull(), p["value"]).otherwise(p["x"]).alias("value")))
 
-    def entry(x: Column) -> Column:
-        own = members(x)
-        name, value = prop(own, "key").try_cast("string"), prop(own, "value")
-        return F.struct(name.alias("key"), F.when(name.isNotNull(), leaf(value)).otherwise(leaf(x)).alias("kind"), F.when(name.isNotNull(), _text_of(value, leaf(value))).otherwise(_text_of(x, leaf(x))).alias("text"))
 
-    return F.coalesce(_cells(v), F.transform(v.try_cast("array<variant>"), entry))
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often what follows names them or filters by them."""
+    made = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return df.select("*", F.inline(made))
 
 
 def _read(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(raw elements of the payloads that a VARIANT holds, deliveries that are left)."""
-    is_object = lambda v: v.try_cast("map<string,variant>").isNotNull()
-    v = F.col("v")
+    v, r = F.col("v"), F.col("r")
+    tried = _once(_once(deliveries, v=F.try_parse_json("text")), r=members(v))
     inner = F.try_parse_json(F.btrim(v.try_cast("string"), F.lit(AROUND)))
-    tried = deliveries.withColumn("v", F.try_parse_json("text")).withColumn("root", F.when(is_object(v), v).otherwise(inner))
-    whole = tried.where(is_object(F.col("root")))
-    left = tried.where(~F.coalesce(is_object(F.col("root")), F.lit(False))).drop("v", "root")
+    tried = _once(tried, root=F.when(r.isNotNull(), r).otherwise(members(inner)))
+    whole, left = tried.where("root is not null"), tried.where("root is null").drop("v", "r", "root")
     at = ["document_id", "delivery", "exported", "loaded", "chars"]
-    root = whole.select(*at, F.when(is_object(v), "object").otherwise("text>object").alias("wrapper"), F.col("root"), members(F.col("root")).alias("r"))
+    root = _once(whole, nodes=prop(F.col("root"), "nodes").try_cast("array<variant>"), edges=prop(F.col("root"), "edges").try_cast("array<variant>"))
     # One row for the document itself, then one per element.
-    listed = lambda name: F.transform(prop(F.col("r"), name + "s").try_cast("array<variant>"), lambda x, i: F.struct(F.lit(name).alias("owner_kind"), i.alias("owner_pos"), x.alias("x")))
-    own = F.array(F.struct(F.lit("document").alias("owner_kind"), F.lit(-1).alias("owner_pos"), F.col("root").alias("x")))
-    none = F.array().cast("array<struct<owner_kind:string,owner_pos:int,x:variant>>")
-    rows = root.select(*at, "wrapper", F.inline(F.concat(own, F.coalesce(listed("node"), none), F.coalesce(listed("edge"), none))))
-    x, document = F.col("x"), F.col("owner_kind") == "document"
-    e = members(x)
-    cells = F.when(document, _cells(x, ("nodes", "edges"))).otherwise(_cells(x, NESTED))
-    read = rows.select(*at, "wrapper", "owner_kind", "owner_pos", is_object(x).alias("is_object"), cells.alias("members"), F.when(~document, _cells(prop(e, "sourcelocation"))).alias("place"), F.when(~document, _entries(prop(e, "metadata"))).alias("entries"))
-    return read, left
+    head = [*at, F.when(r.isNotNull(), "object").otherwise("text>object").alias("wrapper")]
+    items = lambda name: F.transform(F.coalesce(f"{name}s", F.array().cast("array<variant>")), lambda x, i: F.struct(F.lit(name).alias("owner_kind"), i.alias("owner_pos"), x.alias("x"), F.lit(None).cast("map<string,variant>").alias("top")))
+    own = F.array(F.struct(F.lit("document").alias("owner_kind"), F.lit(-1).alias("owner_pos"), F.lit(None).cast("variant").alias("x"), F.map_from_entries("root").alias("top")))
+    rows = root.select(*head, F.inline(F.concat(own, items("node"), items("edge"))))
+    e, document = F.col("e"), F.col("owner_kind") == "document"
+    rows = _once(rows, e=F.when(document, F.map_entries("top")).otherwise(members(F.col("x"))))
+    rows = _once(rows.select(*at, "wrapper", "owner_kind", "owner_pos", "e"), place=F.when(~document, members(prop(e, "sourcelocation"))), meta=F.when(~document, prop(e, "metadata")))
+    meta = F.col("meta")
+    cells = F.when(document, _cells(e, ("nodes", "edges"))).otherwise(_cells(e, NESTED))
+    entries = F.coalesce(_cells(members(meta)), _cells(_listed(meta.try_cast("array<variant>"))))
+    return rows.select(*at, "wrapper", "owner_kind", "owner_pos", e.isNotNull().alias("is_object"), cells.alias("members"), _cells(F.col("place")).alias("place"), entries.alias("entries")), left
 
 
 # -- reading in Python -------------------------------------------------------------------------------------------------
@@ -270,12 +272,6 @@ def _read_slowly(deliveries: DataFrame) -> DataFrame:
 
 
 # -- states ------------------------------------------------------------------------------------------------------------
-def _cell_of(cells: Column, name: str) -> Column:
-    """The cell of a property; of several the last one holds."""
-    found = F.filter(cells, lambda c: F.lower(c["key"]) == name)
-    return F.get(found, F.size(found) - 1)
-
-
 def _rest(cells: Column, known: tuple[str, ...]) -> Column:
     """Cells of properties that are not known and hold something."""
     return F.filter(cells, lambda c: ~F.lower(c["key"]).isin(*known) & (c["kind"] != "none"))
@@ -292,28 +288,33 @@ def classified(raw: DataFrame) -> DataFrame:
 
     The number of shapes is bounded by the kinds of the known properties, whatever documents hold besides.
     """
-    kind = lambda cells, n: F.coalesce(_cell_of(cells, n)["kind"], F.lit("none"))
+    # Cells backwards, with their names in lower case: of several with one name the last one holds.
+    backward = lambda cells: F.reverse(cells)
+    names = lambda cells: F.transform(F.reverse(cells), lambda c: F.lower(c["key"]))
+    raw = _once(raw, own_cells=backward("members"), own_names=names("members"), place_cells=backward("place"), place_names=names("place"))
+    cell = lambda of, n: F.get(f"{of}_cells", F.array_position(f"{of}_names", F.lit(n)).cast("int") - 1)
+    kind = lambda of, n: F.coalesce(cell(of, n)["kind"], F.lit("none"))
     m, place = F.col("members"), F.col("place")
     # A part that should be an object but is none stays in `rest`, and has the state of its kind.
-    own_place, own_meta = kind(m, "sourcelocation"), kind(m, "metadata")
+    own_place, own_meta = kind("own", "sourcelocation"), kind("own", "metadata")
     place_rest = F.coalesce(_rest(place, PLACE), F.array().cast(CELLS))
-    place_state = F.when(own_place == "object", F.concat(F.lit("place("), _state({n: kind(place, n) for n in PLACE}, place_rest), F.lit(")"))).otherwise(own_place)
+    place_state = F.when(own_place == "object", F.concat(F.lit("place("), _state({n: kind("place", n) for n in PLACE}, place_rest), F.lit(")"))).otherwise(own_place)
     # A map's entries have no order of their own, so they come in that of their keys.
     entries = F.when(own_meta == "object", F.array_sort("entries")).otherwise(F.col("entries"))
     values = F.array_join(F.array_sort(F.array_distinct(F.transform(entries, lambda c: F.when(c["key"].isNull(), F.concat(F.lit("keyless:"), c["kind"])).otherwise(c["kind"])))), "|")
     meta_state = F.when(own_meta == "object", F.concat(F.lit("map("), values, F.lit(")"))).when(own_meta == "array", F.concat(F.lit("list("), values, F.lit(")"))).otherwise(own_meta)
     document, edge = F.col("owner_kind") == "document", F.col("owner_kind") == "edge"
-    texts = {n: _cell_of(m, n) for n in TEXTS}
+    texts = {n: cell("own", n) for n in TEXTS}
     known = (*(n for n in TEXTS if n not in ENDS), *NESTED)
     odd = F.filter(m, lambda c: F.lower(c["key"]).isin(*NESTED) & c["kind"].isin("text", "flag", "number") | ((F.lower(c["key"]) == "sourcelocation") & (c["kind"] == "array")))
     rest = F.when(document, _rest(m, ("nodes", "edges"))).when(edge, F.concat(_rest(m, (*known, *ENDS)), odd)).otherwise(F.concat(_rest(m, known), odd))
     staged = raw.select(
         "document_id", "delivery", "exported", "loaded", "chars", "wrapper", "owner_kind", "owner_pos", "is_object", entries.alias("entries"),
         *(F.when(~document & (F.lit(n not in ENDS) | edge), texts[n]).alias(f"t_{n}") for n in TEXTS),
-        F.struct(*(_cell_of(place, n)["text"].alias(n) for n in PLACE)).alias("place"),
+        F.struct(*(cell("place", n)["text"].alias(n) for n in PLACE)).alias("place"),
         F.coalesce(rest, F.array().cast(CELLS)).alias("rest"), place_rest.alias("place_rest"),
         place_state.alias("place_state"), meta_state.alias("meta_state"),
-        *(kind(m, n).alias(f"k_{n}") for n in ("nodes", "edges")),
+        *(kind("own", n).alias(f"k_{n}") for n in ("nodes", "edges")),
     )
     text_states = {n: F.coalesce(F.col(f"t_{n}.kind"), F.lit("none")) for n in TEXTS}
     whole = F.when(document, _state({"nodes": F.col("k_nodes"), "edges": F.col("k_edges")}, F.col("rest"))).otherwise(_state({**text_states, "sourcelocation": F.col("place_state"), "metadata": F.col("meta_state")}, F.col("rest")))
