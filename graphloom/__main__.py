@@ -3,8 +3,8 @@
     python -m graphloom scan ROOT -o graph.json [--exclude P]... [--exclude-file F]...
     python -m graphloom build FACTS_DIR -o graph.json
     python -m graphloom export csv GRAPH.json -o FOLDER
-    python -m graphloom query impact GRAPH.json --node TEXT [--direction upstream]
-    python -m graphloom query paths GRAPH.json --from TEXT --to TEXT
+    python -m graphloom query impact GRAPH.json --node TEXT [--direction upstream] [--depth N] [--exact-only] [--no-ambiguous]
+    python -m graphloom query paths GRAPH.json --from TEXT --to TEXT [--depth N] [--exact-only] [--with-ambiguous]
     python -m graphloom query ambiguous GRAPH.json [--limit N]
 """
 
@@ -40,6 +40,10 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("--direction", default="downstream", choices=["downstream", "upstream"])
     q.add_argument("--from", dest="source")
     q.add_argument("--to", dest="target")
+    q.add_argument("--depth", type=int)
+    q.add_argument("--exact-only", action="store_true")
+    q.add_argument("--no-ambiguous", action="store_true")
+    q.add_argument("--with-ambiguous", action="store_true")
     q.add_argument("--limit", type=int, default=api.SHOWN_REVIEW)
     return p
 
@@ -50,9 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if a.command in ("scan", "build"):
             if a.command == "scan":
-                lines = [discovery.patterns(spark.createDataFrame(list(enumerate(Path(f).read_text().splitlines())) or [(0, "")], "seq long, value string")) for f in a.exclude_file]
-                pats = discovery.combined(a.exclude, *([r.pattern for r in df.collect()] for df in lines))
-                state = api.scan_folder(spark, a.root, pats)
+                state = api.scan_folder(spark, a.root, discovery.excluded_paths(spark, a.root, a.exclude_file, a.exclude))
             else:
                 state = api.scan(spark, {f.name.removesuffix(".parquet"): spark.read.parquet(str(f)) for f in Path(a.root).glob("*.parquet")})
             exchange.write_document(state.need(), a.out, state.metadata)
@@ -62,13 +64,13 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "export":
             exchange.write_csv_pair(state.need(), a.out) if a.kind == "csv" else exchange.write_json(state.need(), a.out)
         elif a.kind == "impact":
-            print("\n".join(api.impact_text(state, a.node or "", a.direction)))
+            print("\n".join(api.impact_text(state, a.node or "", a.direction, a.depth or 6, a.exact_only, not a.no_ambiguous)))
         elif a.kind == "paths":
-            print("\n".join(api.paths_text(state, a.source or "", a.target or "")))
+            print("\n".join(api.paths_text(state, a.source or "", a.target or "", a.depth or 8, a.exact_only, a.with_ambiguous)))
         else:
             print("\n".join(api.review_text(state, a.limit)))
         return 0
-    except (LookupError, FileNotFoundError) as x:
+    except (LookupError, FileNotFoundError, ValueError) as x:
         print(x, file=sys.stderr)
         return 1
 

@@ -60,8 +60,11 @@ def scan(spark: SparkSession, facts: extract.Facts, state: State | None = None,
 
 
 def scan_folder(spark: SparkSession, root: str, excluded: list[str] | None = None, state: State | None = None) -> State:
-    """Scan a folder's listing: repositories, solutions, projects and settings. Facts of code come from fact tables."""
-    tables = discovery.discover(written(discovery.listing(spark, root)), root, excluded)
+    """Scan a folder's listing: repositories, solutions, projects and settings. Facts of code come from fact tables.
+
+    `excluded` is by default what the root's own ignore file names.
+    """
+    tables = discovery.discover(written(discovery.listing(spark, root)), root, excluded if excluded is not None else discovery.excluded_paths(spark, root))
     return scan(spark, {k: v for k, v in tables.items()}, state)
 
 
@@ -69,7 +72,7 @@ def load(spark: SparkSession, path: str, state: State | None = None) -> State:
     """Make the graph of a JSON document the current one."""
     state = state or State()
     g = exchange.read_document(spark, path)
-    state.graph = Graph(written(g.nodes), written(g.edges))
+    state.graph = Graph(written(g.nodes), written(g.edges), written(g.warnings))
     return state
 
 
@@ -91,9 +94,9 @@ def impact(state: State, node: str, direction: str = "downstream", depth: int =
     return focus, nodes.orderBy(F.upper("display_name"), "doc_pos"), edges.orderBy("depth", "doc_pos")
 
 
-def impact_text(state: State, node: str, direction: str = "downstream") -> list[str]:
+def impact_text(state: State, node: str, direction: str = "downstream", depth: int = 6, exact_only: bool = False, include_ambiguous: bool = True) -> list[str]:
     """Focus, counts and the first edges, as printed."""
-    focus, nodes, edges = impact(state, node, direction)
+    focus, nodes, edges = impact(state, node, direction, depth, exact_only, include_ambiguous)
     nodes, edges = written(nodes), written(edges)
     first = edges.orderBy("depth", "doc_pos").limit(SHOWN_EDGES).collect()
     return [f"Focus: {focus.display_name} ({focus.type})", f"Nodes: {nodes.count()}", f"Edges: {edges.count()}", *(f"{e.type}: {e.display_name}" for e in first)]
@@ -105,8 +108,8 @@ def paths(state: State, source: str, target: str, depth: int = 8, exact_only: bo
     return traverse.paths(g, traverse.resolve(g.nodes, source).id, traverse.resolve(g.nodes, target).id, depth, exact_only, include_ambiguous)
 
 
-def paths_text(state: State, source: str, target: str) -> list[str]:
-    found = written(paths(state, source, target))
+def paths_text(state: State, source: str, target: str, depth: int = 8, exact_only: bool = False, include_ambiguous: bool = False) -> list[str]:
+    found = written(paths(state, source, target, depth, exact_only, include_ambiguous))
     lines = traverse.path_lines(found, state.need().nodes, SHOWN_PATHS).orderBy("length", "line").collect()
     return [f"Paths: {found.count()}", *(r.line for r in lines)]
 

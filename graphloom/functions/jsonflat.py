@@ -38,7 +38,7 @@ def _reject(name: str):
 
 
 def flatten_rows(files: DataFrame, keep: list[str], text_col: str = "content") -> DataFrame:
-    """(keep..., key, value, failed): a row per scalar of each text; a text that is no JSON gives one row with failed = true.
+    """(keep..., key, value, failed, place): a row per scalar of each text, in order from 0; a text that is no JSON gives one row with failed = true.
 
     Null texts give no row. Python is needed because the depth is not bounded; texts pass as Arrow batches.
     """
@@ -46,19 +46,20 @@ def flatten_rows(files: DataFrame, keep: list[str], text_col: str = "content") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, keys, values, failed = [], [], [], []
+            at, keys, values, failed, places = [], [], [], [], []
             for i, text in enumerate(b.column(text_col).to_pylist()):
                 try:
                     rows = [(k, v, False) for k, v in flatten(parse(text))]
                 except (ValueError, RecursionError):
                     rows = [(None, None, True)]
+                places += range(len(rows))
                 for k, v, bad in rows:
                     at.append(i)
                     keys.append(k)
                     values.append(v)
                     failed.append(bad)
             own = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in keep), pa.array(keys, pa.string()), pa.array(values, pa.string()), pa.array(failed, pa.bool_())], names=[*keep, "key", "value", "failed"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in keep), pa.array(keys, pa.string()), pa.array(values, pa.string()), pa.array(failed, pa.bool_()), pa.array(places, pa.int32())], names=[*keep, "key", "value", "failed", "place"])
 
     schema = ", ".join(f"`{k}` {t}" for k, t in fields.items())
-    return files.where(F.col(text_col).isNotNull()).select(*keep, text_col).mapInArrow(run, f"{schema}, key string, value string, failed boolean")
+    return files.where(F.col(text_col).isNotNull()).select(*keep, text_col).mapInArrow(run, f"{schema}, key string, value string, failed boolean, place int")

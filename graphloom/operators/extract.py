@@ -28,7 +28,7 @@ SERVICE_ENDINGS = ("Service", "Repository", "Manager", "Handler", "Client")
 CONTEXT_BASE, CONTROLLER_BASE = "Microsoft.EntityFrameworkCore.DbContext", "Microsoft.AspNetCore.Mvc.ControllerBase"
 # Methods that register an implementation of a service.
 REGISTRATIONS = ("AddScoped", "AddTransient", "AddSingleton", "TryAddScoped", "TryAddTransient", "TryAddSingleton")
-#: Tables named in SQL text.
+# Fixed value: tables named in SQL text.
 SQL_TABLE = r"(?i)\b(?:from|join|update|into|table)\s+([A-Za-z0-9_.\[\]]+)"
 
 
@@ -301,21 +301,34 @@ def base_urls(clients: DataFrame, config: DataFrame) -> DataFrame:
     """(client_no, base_url): for clients (client_no, hint, repository_path) the first absolute address among settings.
 
     Tiers: of the client's own repository a key with `url` that names the hint in key or value; then any key with `url`;
-    then of the workspace a key that names the hint; then any value. Within a tier the earliest setting counts. The last
-    two tiers need one candidate of the workspace each, not every setting for every client.
+    then of the workspace a key that names the hint; then any value. Within a tier the earliest setting counts. A text holds
+    a hint if the hint is among the text's parts of that length, so every tier is an equi-join or one row, and no client
+    meets settings that do not name it.
     """
-    good = config.withColumn("url", absolute_url(c("value"))).where("url is not null").select("seq", F.upper("key").alias("k"), F.upper("value").alias("v"), "url", F.upper("repository_path").alias("repo"))
-    own = clients.select("client_no", F.upper("hint").alias("h"), F.upper("repository_path").alias("repo"))
-    has = F.contains(c("k"), c("h"))
-    scoped = own.join(good.where(F.contains(c("k"), F.lit("URL"))).withColumnRenamed("repo", "repo2"), c("repo").eqNullSafe(c("repo2")))
-    first = scoped.groupBy("client_no").agg(F.min_by("url", F.struct(F.when(has | F.contains(c("v"), c("h")), 0).otherwise(1), "seq")).alias("near"))
-    # A key contains a hint if the hint is among the key's parts of that length: an equi-join, not every hint with every key.
-    lengths = F.broadcast(own.select(F.length("h").alias("n")).distinct())  # at most as many as the longest name has characters
-    part = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("k") - c("n") + 1), lambda i: F.substring(c("k"), i, c("n")))))
-    parts = good.groupBy("k").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq")).join(lengths, c("n") <= F.length("k")).select(part.alias("h"), "url", "seq")
-    hints = own.select("h").distinct().join(parts, "h").groupBy("h").agg(F.min_by("url", "seq").alias("named"))
+    good = config.withColumn("url", absolute_url(c("value"))).where("url is not null").select("seq", F.upper("key").alias("k"), F.upper("value").alias("v"), "url", _present(F.upper("repository_path")).alias("repo"))
+    own = clients.select("client_no", F.upper("hint").alias("h"), _present(F.upper("repository_path")).alias("repo"))
+    asked = own.where("h is not null").select("repo", "h").distinct()
+    lengths = F.broadcast(asked.agg(F.collect_set(F.length("h")).alias("lengths")))  # one row; as many lengths as there are at most characters in a name
+
+    def parts(*texts: Column) -> Column:
+        """The parts of the texts that are as long as any hint."""
+        cut = lambda t: F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length(t)), lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))))
+        return F.array_distinct(F.concat(*(F.coalesce(cut(t), F.array().cast("array<string>")) for t in texts)))
+
+    urls = good.where(F.contains(c("k"), F.lit("URL")))
+    first = urls.groupBy("repo").agg(F.min_by("url", "seq").alias("near"))
+    naming = urls.join(lengths).select("repo", F.explode(parts(c("k"), c("v"))).alias("h"), "url", "seq").join(asked, ["repo", "h"], "left_semi")
+    nearest = naming.groupBy("repo", "h").agg(F.min_by("url", "seq").alias("nearest"))
+    keys = good.groupBy("k").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq")).join(lengths).select(F.explode(parts(c("k"))).alias("h"), "url", "seq")
+    named = keys.join(asked.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min_by("url", "seq").alias("named"))
     anyone = good.agg(F.min_by("url", "seq").alias("any"))
-    return own.join(first, "client_no", "left").join(hints, "h", "left").join(F.broadcast(anyone)).select("client_no", F.coalesce("near", "named", "any").alias("base_url"))
+    found = own.join(nearest, ["repo", "h"], "left").join(first, "repo", "left").join(named, "h", "left").join(F.broadcast(anyone))
+    return found.select("client_no", F.coalesce("nearest", "near", "named", "any").alias("base_url"))
+
+
+def _present(text: Column) -> Column:
+    """A text that equals another exactly if both are null or both are equal, and never is null."""
+    return F.coalesce(F.concat(F.lit("+"), text), F.lit("-"))
 
 
 def described_clients(calls: DataFrame, clients: DataFrame) -> DataFrame:
@@ -366,11 +379,27 @@ def _prefixes(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(text)), lambda i: F.substring(text, F.lit(1), i))
 
 
-def _alike(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """(call_no, endpoint_id, matched, head): pairs whose route matches the path, or whose first segments are equal.
+def _repositories_in(calls: DataFrame, routes: DataFrame, strict: bool) -> DataFrame:
+    """(call_no, r_repo): repositories of routes that fit a call by its host or base address: the host itself, or named in
+    either. A missing repository fits any address, unless `strict`. Each distinct address is searched once, by its parts as
+    long as a repository's name."""
+    names = routes.select(F.upper("endpoint_repo").alias("name")).where("name is not null").distinct()
+    lengths = F.broadcast(names.agg(F.collect_set(F.length("name")).alias("lengths")))  # one row
+    own = calls.select("call_no", F.explode(F.array_distinct(F.array_compact(F.array(F.upper("host"), F.upper("base_url"))))).alias("address"))
+    t = c("address")
+    cut = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length(t)), lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))))
+    held = own.select("address").distinct().join(lengths).select("address", F.explode(F.array_distinct(cut)).alias("name")).join(names, "name")
+    found = own.join(held, "address").select("call_no", _present(c("name")).alias("r_repo"))
+    nameless = calls.where(c("host").isNull() if strict else c("host").isNull() | c("host").isNotNull() | c("base_url").isNotNull()).select("call_no", F.lit("-").alias("r_repo"))
+    return found.unionByName(nameless).distinct()
+
+
+def _alike(calls: DataFrame, routes: DataFrame, strict: bool = False) -> DataFrame:
+    """(call_no, endpoint_id, matched, head): pairs whose route matches the path, or whose first segments are equal and
+    whose repository fits the call's host or base address.
 
     Each way to be alike is an equi-join of its own: one text among the leading parts of the other; segment count and
-    first segment (`*` for a parameter); first segment alone.
+    first segment (`*` for a parameter); first segment and fitting repository.
     """
     p = calls.select("call_no", F.upper("path").alias("p"), c("path"))
     r = routes.select("endpoint_id", F.upper("route").alias("r"), c("route"))
@@ -381,7 +410,9 @@ def _alike(calls: DataFrame, routes: DataFrame) -> DataFrame:
     parameter = F.when(F.startswith(first(c("r")), F.lit("{")), "*").otherwise(F.coalesce(first(c("r")), F.lit("")))
     a = p.select("call_no", "path", count(c("p")).alias("n"), F.explode(F.array_distinct(F.array(F.coalesce(first(c("p")), F.lit("")), F.lit("*")))).alias("k"))
     segment = a.join(r.select("endpoint_id", "route", count(c("r")).alias("n"), parameter.alias("k")), ["n", "k"]).where(R.route_matches(c("path"), c("route")))
-    head = p.select("call_no", first(c("p")).alias("a")).join(r.select("endpoint_id", first(c("r")).alias("b")), c("a").eqNullSafe(c("b")))
+    fits = _repositories_in(calls, routes, strict)
+    a = p.select("call_no", _present(first(c("p"))).alias("a")).join(fits, "call_no")
+    head = a.join(routes.select("endpoint_id", _present(first(F.upper("route"))).alias("a"), _present(F.upper("endpoint_repo")).alias("r_repo")), ["a", "r_repo"])
     one = lambda d, m: d.select("call_no", "endpoint_id", F.lit(m).alias("matched"), F.lit(not m).alias("head"))
     every = one(starts, True).unionByName(one(started, True)).unionByName(one(segment, True)).unionByName(one(head, False))
     return every.groupBy("call_no", "endpoint_id").agg(F.bool_or("matched").alias("matched"), F.bool_or("head").alias("head"))
@@ -401,7 +432,7 @@ def internal_targets(calls: DataFrame, endpoints_: DataFrame, strict: bool = Fal
     def held(whole: Column, part: Column) -> Column:
         return F.coalesce(F.contains(F.upper(whole), F.upper(part if strict else F.coalesce(part, F.lit("")))), F.lit(False))
 
-    pairs = _alike(own, e.where(~blank(c("route")))).join(own, "call_no").join(e, "endpoint_id")
+    pairs = _alike(own, e.where(~blank(c("route"))), strict).join(own, "call_no").join(e, "endpoint_id")
     by_host = held(c("host"), c("endpoint_project")) | held(c("host"), c("endpoint_repo"))
     by_name = held(c("endpoint_project"), c("client_name")) | held(c("endpoint_repo"), c("client_name")) | held(c("base_url"), c("endpoint_project")) | held(c("base_url"), c("endpoint_repo"))
     by_repo = F.upper("endpoint_repo").eqNullSafe(F.upper("host")) | held(c("host"), c("endpoint_repo")) | held(c("base_url"), c("endpoint_repo"))
@@ -464,7 +495,7 @@ CONTRIBUTORS: list[tuple[str, Callable[[Facts], list[Rows]]]] = [("topology", to
 
 
 def contribute(f: Facts, contributors=CONTRIBUTORS) -> tuple[DataFrame, DataFrame]:
-    """(node rows, edge rows) of all contributors; seq is a place in the order contributor, output, fact row.
+    """(node rows, edge rows) of all contributors; seq is (contributor, output, fact row), which sorts by these in turn.
 
     The endpoints that HTTP calls may resolve to are those that the contributors before found, all of them.
     """
@@ -476,7 +507,7 @@ def contribute(f: Facts, contributors=CONTRIBUTORS) -> tuple[DataFrame, DataFram
             nodes = [written(_union(nodes))]
             f = f | {"endpoints": written(merge_nodes(nodes[0]).where("type = 'Endpoint'"))}
         for part, rows in enumerate(run(f)):
-            placed = rows.df.withColumn("seq", F.lit(stage * 100 + part).cast("long") * F.lit(1 << 40) + c("seq").cast("long"))
+            placed = rows.df.withColumn("seq", F.struct(F.lit(stage).alias("stage"), F.lit(part).alias("part"), c("seq").cast("long").alias("fact")))
             (nodes if rows.kind == "node" else edges).append(placed)
 
     return _union(nodes), _union(edges)

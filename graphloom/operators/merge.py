@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import EDGE_TYPES, NODE_TYPES, SPECIFICITY, blank, edge_id, lookup, type_name, type_rank
 from ..functions.keys import key
-from ..session import written
+from .numbering import numbered
 
 
 @dataclass
@@ -27,32 +28,60 @@ def _first(value: Column, seq: Column, keep: Column | None = None) -> Column:
     return F.min_by(value, F.when(value.isNotNull() if keep is None else keep, seq))
 
 
-def merge_metadata(ordered: Column) -> Column:
-    """Fold array<map<string,string>> in order. Names compare without case and keep their first spelling; a blank value is
-    replaced by what comes, an equal one stays, another one is appended as `old | new`. Blank names are skipped, but the
-    first map that is not empty is taken whole."""
+def fold_metadata(rows: DataFrame, by: str) -> DataFrame:
+    """(by, folded): the maps of each key folded in the order of `seq`, from (by, seq, metadata).
 
-    def add(acc: Column, m: Column) -> Column:
-        def entry(acc: Column, e: Column) -> Column:
-            at = F.array_position(F.transform(acc, lambda a: F.lower(a["key"])), F.lower(e["key"]))
-            old = F.get(acc, (at - 1).cast("int"))
-            joined = F.when(blank(old["value"]), e["value"]).when(blank(e["value"]) | (F.lower(old["value"]) == F.lower(e["value"])), old["value"]).otherwise(F.concat(old["value"], F.lit(" | "), e["value"]))
-            changed = F.transform(acc, lambda a, i: F.when(i == at - 1, F.struct(old["key"].alias("key"), joined.alias("value"))).otherwise(a))
-            return F.when(blank(e["key"]), acc).when(at == 0, F.array_append(acc, F.struct(e["key"].alias("key"), e["value"].alias("value")))).otherwise(changed)
-
-        rows = F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-        return F.when(F.size(acc) == 0, rows).otherwise(F.aggregate(rows, acc, entry))
-
-    maps = F.filter(ordered, lambda m: m.isNotNull())
-    return F.map_from_entries(F.aggregate(maps, F.array().cast("array<struct<key:string,value:string>>"), add))
+    Names compare without case and keep their first spelling; a blank value is replaced by what comes, an equal one stays,
+    another one is appended as `old | new`. Blank names are skipped, but the first map that is not empty is taken whole.
+    The rows of a key stream by in order; what is held of a key is its folded map alone.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+    entries = F.transform(F.map_entries("metadata"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    sorted_ = rows.where(F.size("metadata") > 0).select(F.col(by), "seq", entries.alias("entries")).repartition(by).sortWithinPartitions(by, "seq").select(by, "entries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_blank = lambda text: text is None or not text.strip(" \t\n\x0b\f\r")
+        own, acc = None, {}  # lower-case name: [name, parts of the value or None, its length]
+
+        def done() -> tuple:
+            return own, [(k, None if parts is None else " | ".join(parts)) for k, parts, _ in acc.values()]
+
+        for b in batches:
+            out = []
+            for key_, es in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key_ != own:
+                    if own is not None:
+                        out.append(done())
+                    own, acc = key_, {}
+                first = not acc
+                for e in es:
+                    name, value = e["key"], e["value"]
+                    at = None if first else acc.get(name.lower())
+                    if first:  # taken whole, names that differ in case alone too
+                        acc[name.lower() if name.lower() not in acc else (name, len(acc))] = [name, None if value is None else [value], len(value or "")]
+                    elif is_blank(name):
+                        continue
+                    elif at is None:
+                        acc[name.lower()] = [name, None if value is None else [value], len(value or "")]
+                    elif at[1] is None or len(at[1]) == 1 and is_blank(at[1][0]):
+                        at[1], at[2] = None if value is None else [value], len(value or "")
+                    elif not is_blank(value) and not (at[2] == len(value) and " | ".join(at[1]).lower() == value.lower()):
+                        at[1].append(value)
+                        at[2] += 3 + len(value)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], b.schema.field(0).type), pa.array([m for _, m in out], pa.map_(pa.string(), pa.string()))], names=[by, "folded"])
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([done()[1]], pa.map_(pa.string(), pa.string()))], names=[by, "folded"])
+
+    return sorted_.mapInArrow(run, f"`{by}` {kind}, folded map<string,string>")
 
 
 def _merged(rows: DataFrame, by: str, extra: list[Column]) -> DataFrame:
     """The columns that nodes and edges merge alike, per key `by`, in the order of `seq`.
 
     Everything but the metadata fold is a plain aggregate that combines before the shuffle. The fold is ordered and not
-    idempotent (a, b, b gives `a | b | b`), so it needs the list of maps, but only of keys whose maps differ at all; any
-    number of equal deliveries folds to the first.
+    idempotent (a, b, b gives `a | b | b`), so it needs all maps, but only of keys whose maps differ at all; any number of
+    equal deliveries folds to the first. These stream by in order, and no list of them is gathered.
     """
     seq, full = F.col("seq"), F.size("metadata") > 0
     rows = rows.withColumn("mark", F.when(full, F.xxhash64(F.to_json(F.array_sort(F.map_entries("metadata")), {"ignoreNullFields": "false"}))))
@@ -68,8 +97,7 @@ def _merged(rows: DataFrame, by: str, extra: list[Column]) -> DataFrame:
         F.min("seq").alias("seq"),
     )
     differ = base.where("mark_lo < mark_hi").select(by)
-    maps = F.array_sort(F.collect_list(F.when(full, F.struct(seq.alias("seq"), F.map_entries("metadata").alias("m")))))
-    folds = rows.join(differ, by, "left_semi").groupBy(by).agg(maps.alias("maps")).select(by, merge_metadata(F.transform("maps", lambda x: F.map_from_entries(x["m"]))).alias("folded"))
+    folds = fold_metadata(rows.select(by, "seq", "metadata").join(differ, by, "left_semi"), by)
     empty = F.create_map().cast("map<string,string>")
     return base.join(folds, by, "left").withColumn("metadata", F.coalesce("folded", "first_map", empty)).drop("folded", "first_map", "mark_lo", "mark_hi")
 
@@ -111,16 +139,10 @@ def merge_edges(rows: DataFrame, make_ids: bool = False) -> DataFrame:
 def build_order(rows: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Adds doc_pos, the place in the built document: by type, then name in upper case, then arrival.
 
-    The places are exact without one task sorting everything: rows are numbered inside (type, hash of the order's prefix)
-    blocks of a range partitioning, whose sizes are prefix-summed.
+    The places are exact without one task sorting everything (see `numbered`).
     """
     order = [type_rank(F.col("type"), types).alias("o_type"), F.upper(F.coalesce("display_name", F.lit(""))).alias("o_name")]
-    keyed = rows.select("*", *order)
-    ranged = keyed.repartitionByRange("o_type", "o_name", "seq").sortWithinPartitions("o_type", "o_name", "seq").withColumn("o_part", F.spark_partition_id()).withColumn("o_row", F.monotonically_increasing_id())
-    ranged = written(ranged)
-    sizes = ranged.groupBy("o_part").agg(F.count("*").alias("n"), F.min("o_row").alias("o_first"))
-    starts = sizes.select("o_part", "o_first", F.coalesce(F.sum("n").over(W.orderBy("o_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row per partition
-    return ranged.join(F.broadcast(starts), "o_part").withColumn("doc_pos", F.col("start") + F.col("o_row") - F.col("o_first")).drop("o_type", "o_name", "o_part", "o_row", "o_first", "start")
+    return numbered(rows.select("*", *order), ["o_type", "o_name", "seq"], "doc_pos").drop("o_type", "o_name")
 
 
 def unresolved(warnings: DataFrame) -> DataFrame:

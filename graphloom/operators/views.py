@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .merge import Graph, statistics
+from .numbering import numbered
 from .traverse import reach
 
 # Which node types each view shows; the other views choose by their edges.
@@ -154,11 +155,10 @@ def bounds(placed: DataFrame) -> DataFrame:
 
 def grid_layout(nodes: DataFrame) -> DataFrame:
     """(id, x, y, label): places given in metadata layoutX and layoutY, else a grid of four columns in document order."""
-    place = F.row_number().over(W.orderBy("doc_pos")) - 1
     x, y = F.try_element_at("metadata", F.lit("layoutX")).try_cast("double"), F.try_element_at("metadata", F.lit("layoutY")).try_cast("double")
     given = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) != float("inf")) & (F.abs(y) != float("inf"))
     name = F.coalesce("id", "display_name", F.concat("type", F.lit("-"), F.col("n").cast("string")))
-    return nodes.withColumn("n", place).select(name.alias("id"), F.when(given, x).otherwise(120.0 + F.col("n") % 4 * 260).alias("x"), F.when(given, y).otherwise(100.0 + F.expr("n div 4") * 170).alias("y"), F.coalesce("display_name", "id", "type").alias("label"))
+    return numbered(nodes, ["doc_pos"], "n").select(name.alias("id"), F.when(given, x).otherwise(120.0 + F.col("n") % 4 * 260).alias("x"), F.when(given, y).otherwise(100.0 + F.expr("n div 4") * 170).alias("y"), F.coalesce("display_name", "id", "type").alias("label"))
 
 
 def edge_styles(edges: DataFrame, colours: dict[str, str] = TYPE_STROKES) -> DataFrame:

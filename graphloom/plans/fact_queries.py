@@ -48,11 +48,11 @@ FACTS = {
     "entities": """select min(doc_pos) seq, lower(trim(id)) entity_id, max(display_name) entity_name, cast(null as varchar(100)) attribute_table, case when max(doc_pos) % 3 = 0 then max(project_name) end to_table, max(repository_name) repository_name, max(project_name) project_name
         from nodes where lower(trim(type)) = 'entity' and display_name is not null and trim(display_name) <> '' group by lower(trim(id))""",
     "declared": """select doc_pos seq, id, case when lower(trim(type)) = 'interface' then 'interface' else 'class' end kind, regexp_replace(display_name, '[a-z0-9][a-z0-9][a-z0-9]$', '') name from nodes where display_name is not null""",
-    "bases": """select distinct lower(trim(source_id)) type_name, lower(trim(target_id)) base_name from edges where lower(trim(type)) in ('defines', 'contains') and lower(trim(source_id)) like 'project:%' and target_id is not null""",
     "links": """select distinct lower(trim(source_id)) type_name, lower(trim(target_id)) base_name from edges where lower(trim(type)) in ('defines', 'contains') and source_id is not null and target_id is not null""",
+    "sql_texts": """select doc_pos seq, concat('SELECT * FROM ', case when doc_pos % 3 = 0 then '[dbo].' else '' end, regexp_replace(trim(target_id), '^[A-Za-z]+:', ''), case when doc_pos % 2 = 0 then concat(' t JOIN ', coalesce(project_name, 'other'), ' p') else '' end) sql
+        from edges where lower(trim(type)) in ('queries_entity', 'maps_to_table') and target_id is not null""",
     "settings": """select doc_pos seq, display_name as key, concat(case when doc_pos % 4 = 0 then '' else 'http://' end, coalesce(repository_name, 'none'), '/api') as value, repository_name repository_path
         from nodes where lower(trim(type)) = 'configurationkey' and display_name is not null""",
-    "clients": """select doc_pos client_no, substring(trim(display_name), 1, 4) hint, repository_name repository_path from nodes where lower(trim(type)) = 'httpclient' and length(trim(display_name)) > 4""",
     "http_clients": """select doc_pos client_no, trim(display_name) hint, repository_name repository_path from nodes where lower(trim(type)) = 'httpclient'""",
     "progress": """select event_id seq, 'load' stage, concat(case event_type when 'view' then 'Loaded ' else 'Failed to load ' end, event_type, ' ', user_id, case when event_id % 7 = 0 then '' else concat(': ', event_type, ' broken') end) message,
         case when event_id % 3 <> 0 then cast(event_id as int) end current, 100000 total from events""",
@@ -104,17 +104,24 @@ def classify_type(spark: SparkSession, d: str) -> DataFrame:
     return fact(spark, d, "declared").select("id", "seq", extract.classify(F.col("kind"), F.col("name"), F.array().cast("array<string>")).alias("class_type"))
 
 
-@query(_f("bases") + """, direct as (select * from bases where type_name <> base_name),
-up(type_name, base_name, depth) as (select n, n, 0 from (select type_name n from bases union select base_name from bases)
+@query(_f("links") + """, direct as (select * from links where type_name <> base_name),
+up(type_name, base_name, depth) as (select n, n, 0 from (select type_name n from links union select base_name from links)
   union select u.type_name, d.base_name, u.depth + 1 from up u join direct d on d.type_name = u.base_name where u.depth < 200)
 select type_name, base_name, min(depth) depth from up group by 1, 2""")
 def inherits_closure(spark: SparkSession, d: str) -> DataFrame:
-    """All links, from nodes of every kind. Its SQL reads `bases`, the links of projects alone, and gives fewer rows (README)."""
+    """All links, from nodes of every kind."""
     return extract.inherits(fact(spark, d, "links"))
 
 
-@query("select doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|update|into|table)\\s+([A-Za-z0-9_.\\[\\]]+)', 1)) table_name from documents where text is not null")
+@query(_f("sql_texts") + """ select seq, unnest(regexp_extract_all(sql, '(?i)\\b(?:from|join|update|into|table)\\s+([A-Za-z0-9_.\\[\\]]+)', 1)) table_name from sql_texts where sql is not null""")
 def sql_lineage(spark: SparkSession, d: str) -> DataFrame:
+    t = fact(spark, d, "sql_texts").where("sql is not null")
+    return t.select("seq", F.explode(extract.named_tables(F.col("sql"))).alias("table_name"))
+
+
+@query("select doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|update|into|table)\\s+([A-Za-z0-9_.\\[\\]]+)', 1)) table_name from documents where text is not null")
+def document_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all texts, of which few or none name a table."""
     t = G.table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", F.explode(extract.named_tables(F.col("text"))).alias("table_name"))
 
@@ -124,15 +131,15 @@ def entity_tables(spark: SparkSession, d: str) -> DataFrame:
     return extract.entity_tables(fact(spark, d, "entities")).select("entity_id", "table_name", "certainty")
 
 
-@query(_f("clients", "settings") + """, good as (select *, upper(key) k, upper(value) v from settings where regexp_matches(value, '^[a-zA-Z]+://[^/]+')),
+@query(_f("http_clients", "settings") + """, good as (select *, upper(key) k, upper(value) v from settings where regexp_matches(value, '^[a-zA-Z]+://[^/]+')),
 near as (select client_no, first(value order by tier, seq) base_url from (
   select c.client_no, g.value, g.seq, case when contains(k, upper(hint)) or contains(v, upper(hint)) then 0 else 1 end tier
-  from clients c join good g on upper(g.repository_path) is not distinct from upper(c.repository_path) where contains(k, 'URL')) group by 1),
-named as (select h, first(value order by seq) base_url from (select distinct upper(hint) h from clients) c join good on contains(k, h) group by 1)
+  from http_clients c join good g on upper(g.repository_path) is not distinct from upper(c.repository_path) where contains(k, 'URL')) group by 1),
+named as (select h, first(value order by seq) base_url from (select distinct upper(hint) h from http_clients) c join good on contains(k, h) group by 1)
 select c.client_no, coalesce(n.base_url, m.base_url, (select first(value order by seq) from good)) base_url
-from clients c left join near n using (client_no) left join named m on m.h = upper(c.hint)""")
+from http_clients c left join near n using (client_no) left join named m on m.h = upper(c.hint)""")
 def base_url_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Every client with its whole name as hint. Its SQL reads `clients`, the first four characters of longer names (README)."""
+    """Every client with its whole name as hint."""
     return extract.base_urls(fact(spark, d, "http_clients"), fact(spark, d, "settings"))
 
 
@@ -161,7 +168,7 @@ def internal_target(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_f("requests", "routes") + _MATCH + "select call_no, endpoint_id from pairs where matched")
 def route_match(spark: SparkSession, d: str) -> DataFrame:
-    own, e = fact(spark, d, "requests"), fact(spark, d, "routes").withColumnRenamed("id", "endpoint_id")
+    own, e = fact(spark, d, "requests"), fact(spark, d, "routes").withColumnsRenamed({"id": "endpoint_id", "repository_name": "endpoint_repo"})
     return extract._alike(own, e).where("matched").select("call_no", "endpoint_id")
 
 

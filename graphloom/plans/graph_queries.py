@@ -63,7 +63,10 @@ def edge_merge_by_content(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_edges(rows, make_ids=True).select("id", F.col("certainty").cast("int").alias("certainty")).join(n, "id")
 
 
-@query()
+@query(_m(""", m_rows as (select id, seq, k, metadata[k] v from (select id, seq, metadata, unnest(map_keys(metadata)) k from raw_nodes where id is not null and id <> '' and cardinality(metadata) > 0)),
+  m_first as (select id, min(seq) s0 from m_rows group by 1),
+  m_named as (select id, lower(k) lk, first(k order by seq) as key, list(v order by seq) vs from m_rows join m_first using (id) where seq = s0 or regexp_matches(k, '\\S') group by 1, 2)
+select id, key, list_reduce(vs, lambda old, v: case when old is null or not regexp_matches(old, '\\S') then v when v is null or not regexp_matches(v, '\\S') or lower(old) = lower(v) then old else old || ' | ' || v end) as value from m_named"""))
 def metadata_fold(spark: SparkSession, d: str) -> DataFrame:
     """Merged metadata entries; tests compare the fold with a plain one."""
     return merge.merge_nodes(G.node_rows(spark, d)).select("id", F.explode("metadata").alias("key", "value"))
@@ -295,7 +298,7 @@ def summary_tiles(spark: SparkSession, d: str) -> DataFrame:
     return views.tiles(G.delivered(spark, d))
 
 
-@query()
+@query("select unnest([" + ", ".join("'" + p[0] + "'" for p in views.PRESETS) + "]) id, unnest([" + ", ".join("'" + p[1] + "'" for p in views.PRESETS) + "]) title, unnest([" + ", ".join("'" + p[2] + "'" for p in views.PRESETS) + "]) description, unnest([" + ", ".join("'" + p[3] + "'" for p in views.PRESETS) + "]) direction")
 def presets(spark: SparkSession, d: str) -> DataFrame:
     return views.presets(spark)
 

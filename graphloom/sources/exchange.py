@@ -8,8 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import CERTAINTIES, certainty_name
-from ..operators.merge import Graph, statistics
+from ..functions.ids import CERTAINTIES, UNRESOLVED, certainty_name, lookup
+from ..operators.merge import Graph, statistics, unresolved
+from ..operators.numbering import numbered
 
 _PLACE = "struct<filePath:string,line:int,column:int>"
 _NODE = f"id string, type string, displayName string, sourceLocation {_PLACE}, repositoryName string, projectName string, certainty string, metadata map<string,string>"
@@ -20,7 +21,10 @@ def _fields(schema: str) -> str:
     return schema.replace(" struct", ":struct").replace(" map", ":map").replace(" string", ":string").replace(", ", ",")
 
 
-DOCUMENT = f"nodes array<struct<{_fields(_NODE)}>>, edges array<struct<{_fields(_EDGE)}>>"
+_WARNING = "code string, message string, path string, certainty string, metadata map<string,string>"
+DOCUMENT = f"nodes array<struct<{_fields(_NODE)}>>, edges array<struct<{_fields(_EDGE)}>>, warnings array<struct<{_fields(_WARNING)}>>"
+#: Columns of a table of warnings.
+WARNINGS = "code string, message string, path string, certainty tinyint, metadata map<string,string>"
 # Columns of the CSV files.
 NODE_COLUMNS = {"id": "id", "type": "type", "displayName": "display_name", "repositoryName": "repository_name", "projectName": "project_name", "certainty": "certainty"}
 EDGE_COLUMNS = {"id": "id", "sourceId": "source_id", "targetId": "target_id", "type": "type", "displayName": "display_name", "repositoryName": "repository_name", "projectName": "project_name", "certainty": "certainty"}
@@ -59,23 +63,41 @@ def json_lines(g: Graph) -> tuple[DataFrame, DataFrame]:
     return tuple(df.select("doc_pos", F.to_json(_elements(df, e)).alias("json")) for df, e in ((g.nodes, False), (g.edges, True)))
 
 
+def warning_rows(warnings: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """Warnings with all columns of WARNINGS; what a table lacks is null."""
+    if warnings is None:
+        return spark.createDataFrame([], WARNINGS)
+    kinds = dict(x.rsplit(" ", 1) for x in WARNINGS.split(", "))
+    return warnings.select(*((F.col(n) if n in warnings.columns else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
+
+
+def warning_json(warnings: DataFrame) -> DataFrame:
+    """(json) of warnings, in camel case and with the certainty's name; null properties left out."""
+    return warnings.select(F.to_json(F.struct("code", "message", "path", certainty_name(F.col("certainty")).alias("certainty"), "metadata")).alias("json"))
+
+
 def write_json(g: Graph, folder: str) -> None:
-    """The document as JSON lines: folders `nodes` and `edges`, one element per line in document order. Scales with the cluster."""
+    """The document as JSON lines: folders `nodes`, `edges` and `warnings`, one element per line, in document order. Scales
+    with the cluster; `read_document` reads the folder."""
     for name, df in zip(("nodes", "edges"), json_lines(g)):
         df.repartitionByRange("doc_pos").sortWithinPartitions("doc_pos").select("json").write.mode("overwrite").text(f"{folder}/{name}")
+    warning_json(warning_rows(g.warnings, g.nodes.sparkSession)).write.mode("overwrite").text(f"{folder}/warnings")
 
 
 def write_document(g: Graph, path: str, scan_metadata: dict | None = None) -> None:
     """One indented JSON document, for exchange with tools that want a single file. Elements stream through the driver one
     partition at a time; for large graphs use `write_json`."""
     nodes, edges = json_lines(g)
+    warnings = warning_rows(g.warnings, g.nodes.sparkSession)
+    by_code = lambda df: warning_json(df.orderBy("code", "path", "message"))
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", encoding="utf-8") as out:
         out.write("{\n")
-        for name, df in (("nodes", nodes), ("edges", edges)):
+        lists = (("nodes", nodes.orderBy("doc_pos")), ("edges", edges.orderBy("doc_pos")), ("warnings", by_code(warnings)), ("unresolved", by_code(unresolved(warnings))))
+        for name, df in lists:
             out.write(f'  "{name}": [')
             comma = "\n"
-            for row in df.orderBy("doc_pos").toLocalIterator():
+            for row in df.toLocalIterator():
                 out.write(comma + "    " + json.dumps(json.loads(row.json), indent=2, ensure_ascii=False).replace("\n", "\n    "))
                 comma = ",\n"
             out.write("\n  ],\n")
@@ -88,17 +110,58 @@ def _camel(name: str) -> str:
     return head + "".join(x.capitalize() for x in rest)
 
 
+def certainty_rank(written_as: Column) -> Column:
+    """The rank of a certainty given by name, in any case, or by number; null for anything else."""
+    number = written_as.try_cast("int")
+    return F.coalesce(lookup(written_as, {n: i for i, n in enumerate(CERTAINTIES)}), F.when(number.between(0, len(CERTAINTIES) - 1), number)).cast("tinyint")
+
+
 def read_document(spark: SparkSession, path: str) -> Graph:
-    """Graph of one or many JSON documents (camel case). Elements come in document order; an absent list is empty."""
-    raw = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
-    rank = F.array_position(F.array(*map(F.lit, CERTAINTIES)), F.col("e.certainty")) - 1
+    """Graph of one or many JSON documents (property names in any case), or of a folder made by `write_json`.
+
+    Elements come in document order, those of several documents one document after the other, and an absent list is empty.
+    A certainty that is no name and no number of one counts as Unresolved, and is reported as `unknown-certainty` among the
+    warnings. A path that holds neither documents nor such a folder raises ValueError.
+    """
+    lists = _folders(spark, path)
+    if lists is None:
+        whole = spark.read.schema(DOCUMENT).option("multiLine", True).json(path).withColumn("file_name", F.input_file_name())
+        if not whole.where("nodes is not null or edges is not null").limit(1).count():
+            raise ValueError(f"no graph document at {path}")
+        raw = lambda name: whole.select("file_name", F.posexplode(name).alias("place", "e"))
+    else:
+        raw = lambda name: lists[name]
+    rank = F.coalesce(certainty_rank(F.col("e.certainty")), F.lit(UNRESOLVED).cast("tinyint"))
+    odd = []
 
     def flat(name: str, ends: list[Column]) -> DataFrame:
-        e = raw.select(F.posexplode(name).alias("doc_pos", "e"))
+        e = numbered(raw(name), ["file_name", "place"], "doc_pos")
+        unknown = e.where(F.col("e.certainty").isNotNull() & certainty_rank(F.col("e.certainty")).isNull())
+        odd.append(unknown.select(F.lit("unknown-certainty").alias("code"), F.concat(F.lit(f"{name} "), F.coalesce("e.id", F.lit("?")), F.lit(": "), "e.certainty").alias("message"), F.col("file_name").alias("path")))
         place = F.when(F.col("e.sourceLocation").isNotNull(), F.struct(F.col("e.sourceLocation.filePath").alias("file_path"), F.col("e.sourceLocation.line").alias("line"), F.col("e.sourceLocation.column").alias("column")))
-        return e.select(F.col("e.id").alias("id"), *ends, F.col("e.type").alias("type"), F.col("e.displayName").alias("display_name"), place.alias("source_location"), F.col("e.repositoryName").alias("repository_name"), F.col("e.projectName").alias("project_name"), rank.cast("tinyint").alias("certainty"), F.coalesce("e.metadata", F.create_map().cast("map<string,string>")).alias("metadata"), F.col("doc_pos").cast("long").alias("doc_pos"))
-
-    return Graph(flat("nodes", []), flat("edges", [F.col("e.sourceId").alias("source_id"), F.col("e.targetId").alias("target_id")]))
+        return e.select(F.col("e.id").alias("id"), *ends, F.col("e.type").alias("type"), F.col("e.displayName").alias("display_name"), place.alias("source_location"), F.col("e.repositoryName").alias("repository_name"), F.col("e.projectName").alias("project_name"), rank.alias("certainty"), F.coalesce("e.metadata", F.create_map().cast("map<string,string>")).alias("metadata"), "doc_pos")
+
+    nodes, edges = flat("nodes", []), flat("edges", [F.col("e.sourceId").alias("source_id"), F.col("e.targetId").alias("target_id")])
+    given = raw("warnings").select("e.code", "e.message", "e.path", certainty_rank(F.col("e.certainty")).alias("certainty"), "e.metadata")
+    return Graph(nodes, edges, given.unionByName(warning_rows(odd[0].unionByName(odd[1]), spark)))
+
+
+def _folders(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """The lists of a folder made by `write_json`: (file_name, place, e), the files in order and their lines in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, name))
+    if not (there("nodes") and there("edges")):
+        return None
+    out = {}
+    for name, schema in (("nodes", _NODE), ("edges", _EDGE), ("warnings", _WARNING)):
+        if there(name):
+            lines = spark.read.schema(schema).json(f"{path}/{name}")
+            # The files are named in order and read line by line; the number tells the lines of one file apart.
+            out[name] = lines.select(F.input_file_name().alias("file_name"), F.monotonically_increasing_id().alias("place"), F.struct(*lines.columns).alias("e"))
+        else:
+            out[name] = spark.createDataFrame([], f"file_name string, place long, e struct<{_fields(schema)}>")
+    return out
 
 
 def register(g: Graph) -> None:
