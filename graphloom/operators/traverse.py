@@ -20,15 +20,20 @@ def admitted(exact_only: bool = False, include_ambiguous: bool = True) -> Column
     return F.lit(True) if include_ambiguous else F.coalesce(~F.col("certainty").isin(0, 1), F.lit(True))
 
 
-def resolve(nodes: DataFrame, text: str) -> Row:
-    """The first node in document order whose id is `text`, else whose name is, else whose name or id holds it.
+def resolved(nodes: DataFrame, text: str) -> DataFrame:
+    """The first node in document order whose id is `text`, else whose name is, else whose name or id holds it; no row if none.
 
-    Comparison does not regard case. `''` is held by every name. Raises LookupError if there is none. `nodes` needs doc_pos.
+    Comparison does not regard case. `''` is held by every name. `nodes` needs doc_pos.
     """
     t = F.lit(text.upper())
     name, id_ = F.upper(F.coalesce("display_name", F.lit(""))), F.upper(F.col("id"))
     tier = F.when(id_ == t, 1).when(name == t, 2).when(F.contains(name, t) | F.contains(id_, t), 3)
-    found = nodes.withColumn("tier", tier).where("tier is not null").orderBy("tier", "doc_pos").limit(1).collect()
+    return nodes.withColumn("tier", tier).where("tier is not null").orderBy("tier", "doc_pos").limit(1)
+
+
+def resolve(nodes: DataFrame, text: str) -> Row:
+    """The row of `resolved`. Raises LookupError if there is none."""
+    found = resolved(nodes, text).collect()
     if not found:
         raise LookupError(f"no node is called {text!r}")
     return found[0]

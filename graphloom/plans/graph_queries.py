@@ -117,8 +117,7 @@ select id, type, display_name from (
 where tier is not null order by tier, doc_pos limit 1"""), name)
     def run(spark: SparkSession, d: str) -> DataFrame:
         nodes = G.build_order(G.merge_nodes(G.node_rows(spark, d)), NODE_TYPES)
-        r = traverse.resolve(nodes, text)
-        return spark.createDataFrame([(r.id, r.type, r.display_name)], "id string, type string, display_name string")
+        return traverse.resolved(nodes, text).select("id", "type", "display_name")
 
 
 _resolved("harbor-platform", "resolve_by_name")
